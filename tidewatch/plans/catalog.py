@@ -8,6 +8,9 @@ from tidewatch.plans import registry
 
 MODULES = [
     "feature_queries",
+    "dataset_queries",
+    "evaluation_queries",
+    "portfolio_queries",
 ]
 
 

@@ -49,7 +49,10 @@ def check(final: str, *needs: str) -> str:
         f"{n} as materialized ({FRAGMENTS[n][1]})" if "(" not in n else f"{n} as ({FRAGMENTS[n][1]})"
         for n in order
     )
-    return f"with recursive {ctes}\n{final}"
+    body = final.strip()
+    if body.lower().startswith("with "):
+        return f"with recursive {ctes},\n{body[5:]}"
+    return f"with recursive {ctes}\n{body}"
 
 
 fragment("panel", (), PANEL_SQL.format(lineitem="lineitem", part="part"))
