@@ -23,6 +23,27 @@ def half_even(c: Column, digits: int = 0) -> Column:
     return F.rint(c * scale) / scale
 
 
+def decimal_round(c: Column, digits: int) -> Column:
+    """Round the exact binary value, as Python's ``round`` and ``%.nf`` do.
+
+    Scaling can only err by turning a near-tie into a tie. The error of the
+    product is recovered by splitting the factor into halves whose products are
+    exact, and decides such ties.
+    """
+    scale = F.lit(float(10**digits))
+    y = c * scale
+    wide = c * F.lit(134217729.0)
+    high = wide - (wide - c)
+    error = (high * scale - y) + (c - high) * scale
+    tie = F.abs(y - F.floor(y)) == 0.5
+    whole = (
+        F.when(tie & (error > 0), F.ceil(y).cast("double"))
+        .when(tie & (error < 0), F.floor(y).cast("double"))
+        .otherwise(F.rint(y))
+    )
+    return whole / scale
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     """Clamp, keeping NULL as NULL (least/greatest alone would skip it)."""
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
@@ -56,7 +77,7 @@ def normalize_progress(c: Column) -> Column:
     s = F.trim(strip_brackets(F.trim(F.replace(clean_text(c), F.lit("%"), F.lit("")))))
     v = F.when(~s.isin(EMPTY_MARKS), _parse(s))
     pct = F.when((v > 0) & (v < 1), v * 100.0).otherwise(v)
-    return F.when((pct >= 0) & (pct <= 100), half_even(pct, 2))
+    return F.when((pct >= 0) & (pct <= 100), decimal_round(pct, 2))
 
 
 def normalize_money(c: Column) -> Column:
@@ -65,7 +86,7 @@ def normalize_money(c: Column) -> Column:
     bare = F.trim(F.regexp_replace(F.regexp_replace(s, r"[₹ ]", ""), r"(?i)rs\.?|crore", ""))
     first = F.replace(F.regexp_extract(bare, NUMBER_IN_TEXT, 0), F.lit(","), F.lit(""))
     v = F.coalesce(_parse(bare), first.try_cast("double"))
-    return F.when(~s.isin(EMPTY_MARKS), half_even(v, 2))
+    return F.when(~s.isin(EMPTY_MARKS), decimal_round(v, 2))
 
 
 def format_crore(c: Column) -> Column:
@@ -73,9 +94,9 @@ def format_crore(c: Column) -> Column:
     a = F.abs(c)
     sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
     text = (
-        F.when(a < 1000.0, F.concat(F.format_string("%.1f", a), F.lit(" Cr")))
+        F.when(a < 1000.0, F.concat(F.format_string("%.1f", decimal_round(a, 1)), F.lit(" Cr")))
         .when(a < 100000.0, F.concat(F.format_number(F.rint(a), 0), F.lit(" Cr")))
-        .otherwise(F.concat(F.format_string("%.2f", a / 100000.0), F.lit(" Lakh Cr")))
+        .otherwise(F.concat(F.format_string("%.2f", decimal_round(a / 100000.0, 2)), F.lit(" Lakh Cr")))
     )
     return F.when(c.isNull() | F.isnan(c), F.lit("₹0.0 Cr")).otherwise(
         F.concat(sign, F.lit("₹"), text)

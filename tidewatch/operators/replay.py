@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.numbers import half_even, is_true
+from tidewatch.functions.numbers import decimal_round, is_true
 from tidewatch.operators.timeline import entity, history
 
 
 def fixed(c: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", half_even(c, digits))
+    return F.format_string(f"%.{digits}f", decimal_round(c, digits))
 
 
 def grouped(c: Column, digits: int) -> Column:
     """Fixed digits with thousands separators."""
-    return F.format_number(half_even(c, digits), digits)
+    return F.format_number(decimal_round(c, digits), digits)
 
 
 def with_events(df: DataFrame, cost: float = 0.05, delay: float = 6.0) -> DataFrame:

@@ -269,8 +269,8 @@ C.fragment("rp2", ("rp",), """
 select *, case when alert and month_idx<fe then fe-month_idx end as lead_time_if_event,
  min(case when alert and month_idx<fe then month_idx end) over (partition by project_id) as fa
 from (select *, min(case when actual_event then month_idx end) over (partition by project_id) as fe from rp)""")
-_f1 = lambda e: f"printf('%.1f',{C.half_even(e, 1)})"
-_g1 = lambda e: f"format('{{:,.1f}}',{C.half_even(e, 1)})"
+_f1 = lambda e: f"printf('%.1f',{e})"
+_g1 = lambda e: f"format('{{:,.1f}}',{e})"
 _REASON = (f"concat_ws('; ', case when ch then 'Cost escalated +'||{_f1('((C_base-prior_cost)/prior_cost)*100.0::double')}||'% (₹'||{_g1('prior_cost')}||' Cr -> ₹'||{_g1('C_base')}||' Cr)' end, "
            f"case when th then 'Schedule deviation jumped +'||{_f1('schedule_deviation_months-prior_deviation')}||' months ('||{_f1('prior_deviation')}||'m -> '||{_f1('schedule_deviation_months')}||'m)' end)")
 

@@ -131,7 +131,7 @@ def _(spark, sf):
 @query("project_detail", C.check(f"""
 select project_id, project_name, reporting_month, C_base, expenditure_to_baseline, V_fin_1m, A_fin, trajectory_risk_score, latest_risk, risk_tier,
  case when V_fin_1m is null then 'V_fin_1m is unobserved / missing' else
-   '1-month financial progress velocity is '||printf('%.2f', {C.half_even('V_fin_1m', 2)})||'%/month' end as velocity_text from snap""", "snap"))
+   '1-month financial progress velocity is '||printf('%.2f', V_fin_1m)||'%/month' end as velocity_text from snap""", "snap"))
 def _(spark, sf):
     from tidewatch.functions.explain import explanation
     return all_scored(spark, sf).select(
