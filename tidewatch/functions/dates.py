@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.binding import let
 from tidewatch.functions.numbers import EMPTY_MARKS
 from tidewatch.functions.text import clean_text, non_empty, strip_brackets
 
@@ -57,20 +58,13 @@ def months_inclusive(start: Column, end: Column) -> Column:
 
 def _ym(year: Column, month: Column) -> Column:
     """Join a four-digit year and a numeric month, NULL outside 1..12."""
-    n = month.try_cast("int")
-    return F.when(
-        (year != "") & (n >= 1) & (n <= 12),
-        F.concat(year, F.lit("-"), F.lpad(n.cast("string"), 2, "0")),
-    )
+    return let(month.try_cast("int"), lambda n: F.when(
+        (n >= 1) & (n <= 12) & (year != ""),
+        F.concat(year, F.lit("-"), F.lpad(n.cast("string"), 2, "0"))))
 
 
 def normalize_month(c: Column) -> Column:
     """Any supported month spelling to ``YYYY-MM``, tried in a fixed order."""
-    s = F.trim(strip_brackets(clean_text(c)))
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(s, pattern, group)
-
     iso = r"^(\d{4})[-/](\d{1,2})$"
     num = r"^(\d{1,2})[-/](\d{4})$"
     word4 = r"^([A-Za-z]+)[\s,-]+(\d{4})$"
@@ -78,14 +72,17 @@ def normalize_month(c: Column) -> Column:
     inner = r"(\d{1,2})[/](\d{4})"
     inner_word = rf"(?i)({FULL_MONTHS})[\s,]+(20\d{{2}})"
 
-    yy = non_empty(part(word2, 2))
-    century = F.when(yy.cast("int") < 70, F.lit("20")).otherwise(F.lit("19"))
-    found = F.coalesce(
-        _ym(part(iso, 1), part(iso, 2)),
-        _ym(part(num, 2), part(num, 1)),
-        _ym(part(word4, 2), month_number(part(word4, 1))),
-        _ym(F.concat(century, yy), month_number(part(word2, 1))),
-        _ym(part(inner, 2), part(inner, 1)),
-        _ym(part(inner_word, 2), month_number(part(inner_word, 1))),
-    )
-    return F.when(~s.isin(EMPTY_MARKS), found)
+    def read(s: Column) -> Column:
+        part = lambda pattern, group: F.regexp_extract(s, pattern, group)
+        short = let(non_empty(part(word2, 2)), lambda yy: F.concat(
+            F.when(yy.cast("int") < 70, F.lit("20")).otherwise(F.lit("19")), yy))
+        return F.when(~s.isin(EMPTY_MARKS), F.coalesce(
+            _ym(part(iso, 1), part(iso, 2)),
+            _ym(part(num, 2), part(num, 1)),
+            _ym(part(word4, 2), month_number(part(word4, 1))),
+            _ym(short, month_number(part(word2, 1))),
+            _ym(part(inner, 2), part(inner, 1)),
+            _ym(part(inner_word, 2), month_number(part(inner_word, 1))),
+        ))
+
+    return let(F.trim(strip_brackets(clean_text(c))), read)

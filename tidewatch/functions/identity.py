@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.binding import let
+
 # States and territories that appear as summary rows.
 STATES = [
     "ANDHRA PRADESH", "ARUNACHAL PRADESH", "ASSAM", "BIHAR", "CHHATTISGARH", "GOA", "GUJARAT",
@@ -100,11 +102,13 @@ def is_derived_id(pid: Column) -> Column:
 
 def is_non_project(pid: Column, name: Column) -> Column:
     """Furniture filter for derived ids; official ids always stay."""
-    n = F.trim(F.coalesce(name, F.lit("")))
-    hit = F.lit(False)
-    for p in EXCLUSION_PATTERNS:
-        hit = hit | n.rlike(p)
-    return is_derived_id(pid) & hit
+    def furniture(n: Column) -> Column:
+        hit = F.lit(False)
+        for p in EXCLUSION_PATTERNS:
+            hit = hit | n.rlike(p)
+        return hit
+
+    return is_derived_id(pid) & let(F.trim(F.coalesce(name, F.lit(""))), furniture)
 
 
 def audit_reason(name: Column) -> Column:
@@ -130,24 +134,27 @@ def audit_action(pid: Column, primary_name: Column, reason: Column) -> Column:
 
 def macro_reason(pid: Column, name: Column) -> Column:
     """Why a row is a macro summary, or ``GENUINE``."""
-    n = F.upper(F.trim(F.coalesce(name, F.lit(""))))
     derived = is_derived_id(F.trim(F.coalesce(pid, F.lit(""))))
-    keyword = F.coalesce(*[
-        F.when(n.rlike("(?i)" + p), F.lit(f"MACRO_KEYWORD_{p}")) for p in MACRO_PATTERNS])
-    state = F.trim(F.regexp_replace(n, r"^STATE\s*:\s*", ""))
-    sector = F.trim(F.regexp_replace(
-        F.trim(F.regexp_replace(n, r"^SECTOR\s*:\s*", "")), r"[\*\s]+$", ""))
-    front = F.lit(False)
-    for word in FRONT_MATTER:
-        front = front | F.contains(n, F.lit(word))
-    return F.coalesce(
-        F.when(derived, keyword),
-        F.when(keyword.isNotNull() & n.isin(MACRO_TITLES), F.concat(F.lit("OFFICIAL_MACRO_TITLE_"), n)),
-        F.when(state.isin(STATES), F.concat(F.lit("STATE_SUMMARY_ROW: "), state)),
-        F.when(sector.isin(SECTORS), F.concat(F.lit("SECTOR_SUMMARY_ROW: "), sector)),
-        F.when(derived & front, F.lit("SYNTHETIC_EXECUTIVE_SUMMARY")),
-        F.lit("GENUINE"),
-    )
+
+    def classify(n: Column) -> Column:
+        keyword = F.coalesce(*[
+            F.when(n.rlike("(?i)" + p), F.lit(f"MACRO_KEYWORD_{p}")) for p in MACRO_PATTERNS])
+        state = F.trim(F.regexp_replace(n, r"^STATE\s*:\s*", ""))
+        sector = F.trim(F.regexp_replace(
+            F.trim(F.regexp_replace(n, r"^SECTOR\s*:\s*", "")), r"[\*\s]+$", ""))
+        front = F.lit(False)
+        for word in FRONT_MATTER:
+            front = front | F.contains(n, F.lit(word))
+        return F.coalesce(
+            let(keyword, lambda k: F.when(derived, k).when(
+                k.isNotNull() & n.isin(MACRO_TITLES), F.concat(F.lit("OFFICIAL_MACRO_TITLE_"), n))),
+            let(state, lambda s: F.when(s.isin(STATES), F.concat(F.lit("STATE_SUMMARY_ROW: "), s))),
+            let(sector, lambda s: F.when(s.isin(SECTORS), F.concat(F.lit("SECTOR_SUMMARY_ROW: "), s))),
+            F.when(derived & front, F.lit("SYNTHETIC_EXECUTIVE_SUMMARY")),
+            F.lit("GENUINE"),
+        )
+
+    return let(F.upper(F.trim(F.coalesce(name, F.lit("")))), classify)
 
 
 def is_macro_summary(pid: Column, name: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.binding import let
 from tidewatch.functions.text import clean_text, strip_brackets
 
 # Cell texts that mean "no value".
@@ -31,17 +32,17 @@ def decimal_round(c: Column, digits: int) -> Column:
     exact, and decides such ties.
     """
     scale = F.lit(float(10**digits))
-    y = c * scale
-    wide = c * F.lit(134217729.0)
-    high = wide - (wide - c)
-    error = (high * scale - y) + (c - high) * scale
-    tie = F.abs(y - F.floor(y)) == 0.5
-    whole = (
-        F.when(tie & (error > 0), F.ceil(y).cast("double"))
-        .when(tie & (error < 0), F.floor(y).cast("double"))
-        .otherwise(F.rint(y))
-    )
-    return whole / scale
+
+    def settle(x: Column, y: Column) -> Column:
+        wide = x * F.lit(134217729.0)
+        high = wide - (wide - x)
+        error = (high * scale - y) + (x - high) * scale
+        return F.when(
+            F.abs(y - F.floor(y)) == 0.5,
+            F.when(error > 0, F.ceil(y).cast("double")).when(error < 0, F.floor(y).cast("double")).otherwise(F.rint(y)),
+        ).otherwise(F.rint(y))
+
+    return let(c, lambda x: let(x * scale, lambda y: settle(x, y))) / scale
 
 
 def clip(c: Column, low: float, high: float) -> Column:
@@ -68,25 +69,33 @@ def is_true(c: Column) -> Column:
 
 
 def _parse(c: Column) -> Column:
-    plain = F.replace(c, F.lit(","), F.lit(""))
-    return F.when(plain.rlike(PLAIN_NUMBER), plain.try_cast("double"))
+    return let(
+        F.replace(c, F.lit(","), F.lit("")),
+        lambda plain: F.when(plain.rlike(PLAIN_NUMBER), plain.try_cast("double")))
+
+
+def _given(s: Column, parse) -> Column:
+    """``parse(s)`` unless the cell only marks a missing value."""
+    return let(s, lambda x: F.when(~x.isin(EMPTY_MARKS), parse(x)))
 
 
 def normalize_progress(c: Column) -> Column:
     """Percent text to 0..100; a fraction strictly between 0 and 1 is scaled up."""
     s = F.trim(strip_brackets(F.trim(F.replace(clean_text(c), F.lit("%"), F.lit("")))))
-    v = F.when(~s.isin(EMPTY_MARKS), _parse(s))
-    pct = F.when((v > 0) & (v < 1), v * 100.0).otherwise(v)
-    return F.when((pct >= 0) & (pct <= 100), decimal_round(pct, 2))
+    pct = let(_given(s, _parse), lambda v: F.when((v > 0) & (v < 1), v * 100.0).otherwise(v))
+    return decimal_round(let(pct, lambda p: F.when((p >= 0) & (p <= 100), p)), 2)
 
 
 def normalize_money(c: Column) -> Column:
     """Money text to a number; falls back to the first number in the text."""
-    s = F.trim(strip_brackets(clean_text(c)))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(s, r"[₹ ]", ""), r"(?i)rs\.?|crore", ""))
-    first = F.replace(F.regexp_extract(bare, NUMBER_IN_TEXT, 0), F.lit(","), F.lit(""))
-    v = F.coalesce(_parse(bare), first.try_cast("double"))
-    return F.when(~s.isin(EMPTY_MARKS), decimal_round(v, 2))
+
+    def parse(s: Column) -> Column:
+        bare = F.trim(F.regexp_replace(F.regexp_replace(s, r"[₹ ]", ""), r"(?i)rs\.?|crore", ""))
+        return let(bare, lambda b: F.coalesce(
+            _parse(b),
+            F.replace(F.regexp_extract(b, NUMBER_IN_TEXT, 0), F.lit(","), F.lit("")).try_cast("double")))
+
+    return decimal_round(_given(F.trim(strip_brackets(clean_text(c))), parse), 2)
 
 
 def format_crore(c: Column) -> Column:

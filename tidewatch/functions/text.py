@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.binding import let
+
 # Every character Unicode-aware text tools treat as white space.
 SPACE_CLASS = (
     r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
@@ -77,7 +79,7 @@ def non_empty(c: Column) -> Column:
 
 def extract_project_code(c: Column) -> Column:
     """First official code in the text, upper-cased, else NULL."""
-    return non_empty(F.upper(F.regexp_extract(c, PROJECT_CODE, 0)))
+    return let(F.upper(F.regexp_extract(c, PROJECT_CODE, 0)), non_empty)
 
 
 def derived_project_id(name: Column, sector: Column, ministry: Column, state: Column) -> Column:
@@ -94,8 +96,7 @@ def normalize_project_id(
     code: Column, name: Column, sector: Column, ministry: Column, state: Column
 ) -> Column:
     """Official code from either cell, else the derived id, else empty."""
-    cleaned = clean_text(name)
-    usable = (F.length(cleaned) >= 3) & ~cleaned.rlike(r"^\d+$")
+    usable = let(clean_text(name), lambda t: (F.length(t) >= 3) & ~t.rlike(r"^\d+$"))
     return F.coalesce(
         extract_project_code(code),
         extract_project_code(name),
@@ -107,11 +108,14 @@ def normalize_project_id(
 def clean_sector_name(c: Column) -> Column:
     """Canonical sector title, or NULL when the text names no known sector."""
     letters = F.upper(F.regexp_replace(c, r"[^a-zA-Z\s&]", " "))
-    s = F.trim(F.regexp_replace(letters, r"\s+", " "))
-    title = F.lit(None).cast("string")
-    for key, value in reversed(SECTOR_TITLES):
-        title = F.when(F.contains(s, F.lit(key)), F.lit(value)).otherwise(title)
-    return F.when(F.length(s) >= 3, title)
+
+    def lookup(s: Column) -> Column:
+        title = F.lit(None).cast("string")
+        for key, value in reversed(SECTOR_TITLES):
+            title = F.when(F.contains(s, F.lit(key)), F.lit(value)).otherwise(title)
+        return F.when(F.length(s) >= 3, title)
+
+    return let(F.trim(F.regexp_replace(letters, r"\s+", " ")), lookup)
 
 
 def clean_project_title(c: Column) -> Column:

@@ -34,7 +34,8 @@ def normalize_cells(cells: DataFrame) -> DataFrame:
             F.col("code_cell"), F.col("project_name"), F.col("sector"), F.col("ministry"), F.col("state")),
         "reporting_month": F.coalesce(normalize_month(F.col("month_cell")), F.lit("UNKNOWN")),
         "approved_cost": normalize_money(F.col("_costs.original")),
-        "revised_cost": F.coalesce(normalize_money(F.col("_costs.revised")), normalize_money(F.col("_costs.anticipated"))),
+        "revised_cost": F.coalesce(
+            normalize_money(F.col("_costs.revised")), normalize_money(F.col("_costs.anticipated"))),
         "original_completion_date": normalize_month(F.col("_dates.original")),
         "revised_completion_date": F.coalesce(
             normalize_month(F.col("_dates.revised")), normalize_month(F.col("_dates.anticipated"))),

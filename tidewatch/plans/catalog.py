@@ -11,6 +11,7 @@ MODULES = [
     "dataset_queries",
     "evaluation_queries",
     "portfolio_queries",
+    "raw_queries",
 ]
 
 
