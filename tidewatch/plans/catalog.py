@@ -12,6 +12,7 @@ MODULES = [
     "evaluation_queries",
     "portfolio_queries",
     "raw_queries",
+    "monitor_queries",
 ]
 
 
