@@ -138,7 +138,7 @@ select project_id, n1, oc, k, a, m, ep, case when oc='ISSUED' then true when oc
  case when oc='ISSUED' then 1 when active and k='OBSERVE' and ep>=0.5::double then cycles+1 else cycles end,
  case when oc='ISSUED' then false else responded or oc='RESPONSE_ACCEPTED' end,
  case when oc='ISSUED' then 'WARNING_ISSUED' when oc in ('RECOVERED','ESCALATED') then oc when oc='RESPONSE_ACCEPTED' then 'UNDER_RECOVERY' else pstatus end, active
-from (select g.*, e.n as n1, e.kind as k, e.arrival_seq as a, e.month as m, e.p as ep, e.v as ev, e.d as ed, e.s as es,
+from (select g.* exclude (oc), e.n as n1, e.kind as k, e.arrival_seq as a, e.month as m, e.p as ep, e.v as ev, e.d as ed, e.s as es,
   case when e.kind='RESPOND' then case when g.active and not g.responded and g.wstatus<>'RESPONSE_SUBMITTED' and e.fit then 'RESPONSE_ACCEPTED' else 'RESPONSE_REJECTED' end
    when not g.active then case when e.p>=0.5::double then 'ISSUED' else 'NONE' end
    when e.p<0.5::double and e.v is null and e.d is null and e.s is null then 'INSUFFICIENT_EVIDENCE'
