@@ -13,6 +13,8 @@ MODULES = [
     "portfolio_queries",
     "raw_queries",
     "monitor_queries",
+    "source_queries",
+    "model_queries",
 ]
 
 
