@@ -6,7 +6,7 @@ progress in the many spellings reports use. Same text on both sides.
 
 RAW_SQL = """
 with b as (
-  select ((l_orderkey*10+l_linenumber)*100000+l_partkey)*10000+l_suppkey as raw_record_id,
+  select (((l_orderkey*10+l_linenumber)*100000+l_partkey%100000)*100+l_suppkey%100)*100+(year(l_shipdate)*12+month(l_shipdate))%100 as raw_record_id,
     l_partkey as pk, l_orderkey+l_linenumber as k, l_linenumber as ln, cast(l_quantity as bigint) as q,
     cast(year(l_shipdate) as bigint) as y, cast(month(l_shipdate) as bigint) as m, p_name, p_brand, p_type, p_size,
     cast(floor(p_retailprice*p_size*4) as bigint) as app,
