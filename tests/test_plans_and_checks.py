@@ -43,12 +43,24 @@ def plan_of(df):
 
 def test_features_and_labels_share_one_exchange(spark):
     p = panel(spark, SF)
-    df = with_labels(K.kinetics(timeline(p), peers=K.empty_peers(spark)))
+    df = K.kinetics(with_labels(timeline(p)), peers=K.empty_peers(spark))
     text = plan_of(df)
     assert text.count("Exchange hashpartitioning(project_id") == 1
     assert "Python" not in text and "CartesianProduct" not in text
 
 
+def test_unbroadcast_peers_cost_no_second_entity_exchange(spark):
+    p = panel(spark, SF)
+    peers = K.peer_statistics(K.motion(K.point_state(timeline(p), K.KineticsConfig())))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan_of(K.kinetics(with_labels(timeline(p)), peers=peers))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # one for the facts, one inside the peer statistics
+    assert text.count("Exchange hashpartitioning(project_id") == 2 and "BroadcastHashJoin" not in text
+
+
 def test_entity_filter_reaches_the_scan(spark, tmp_path):
     from tidewatch.sources.tables import read_entity, write_panel
     path = str(tmp_path / "panel")
@@ -63,7 +75,11 @@ def test_decimal_round_agrees_with_python(spark):
 
 
 def test_multi_field_slots(spark):
-    cases = [("a\n(b)\n{c}", ("a", "b", "c")), ("a\nb\nc\nd", ("a", "b", "c")), ("[x]\n[y]\n(p)\n(q)", (None, "q", "y")), ("", (None, None, None))]
+    # lines keep their brackets; the month and money normalisers strip them
+    cases = [
+        ("a\n(b)\n{c}", ("a", "(b)", "{c}")), ("a\nb\nc\nd", ("a", "b", "c")),
+        ("[x]\n[y]\n(p)\n(q)", (None, "(q)", "[y]")), ("", (None, None, None)),
+    ]
     df = spark.createDataFrame([(c,) for c, _ in cases], "c string").select(multi_field(F.col("c")).alias("m"))
     assert [tuple(r["m"]) for r in df.collect()] == [w for _, w in cases]
 

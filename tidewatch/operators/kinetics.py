@@ -231,6 +231,7 @@ def kinetics(
 
 def empty_peers(spark) -> DataFrame:
     """Peer table for entities scored alone: every z-score becomes 0."""
-    return spark.createDataFrame(
-        [], "reporting_month string, sector_clean string, scale_bucket string, "
-            "peer_v_mean double, peer_v_std double, peer_count long")
+    return spark.sql(
+        "select cast(null as string) as reporting_month, cast(null as string) as sector_clean, "
+        "cast(null as string) as scale_bucket, cast(null as double) as peer_v_mean, "
+        "cast(null as double) as peer_v_std, cast(null as bigint) as peer_count where false")

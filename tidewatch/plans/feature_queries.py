@@ -21,8 +21,12 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Features and labels in one pass over one partitioning."""
-    return G.with_labels(features(spark, sf))
+    """Features and labels in one pass over one partitioning.
+
+    Labels come first: were the peer join ever to shuffle, nothing after it
+    would need the entity partitioning again.
+    """
+    return K.kinetics(G.with_labels(timeline(panel(spark, sf))))
 
 
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
