@@ -113,29 +113,19 @@ def _repeat_words(hashes: Column, window: int) -> Column:
     return F.when(F.size(hashes) <= window, F.lit(0).cast("long")).otherwise(count(hashes))
 
 
-def quality(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id",
-            text_col: str = "text") -> DataFrame:
-    """One row per input row with base counts, score and verdict.
-
-    doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
-    base_failed, kept (boolean), llr (double, null without words).
-
-    A null or empty text has no words, so it fails the base rule. Repeated rows
-    and null ids are judged row by row (a null id is never trusted). An empty
-    table gives no rows; extra columns are ignored.
-    """
-    counts = gram_counts(docs, trusted, cfg, id_col, text_col)
-    w = _constant(gram_weights(counts, cfg).first()["w"])
+def _judged(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig, id_col: str, text_col: str) -> DataFrame:
+    """Counts, score and verdict of each row, and the whole input row as ``row``."""
+    w = _constant(gram_weights(gram_counts(docs, trusted, cfg, id_col, text_col), cfg).first()["w"])
     text = F.col("text")
-    base = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).select(
-        "doc_id",
+    base = docs.select(F.struct("*").alias("row"), whole_text(text_col).alias("text")).select(
+        "row",
         _hashed(words_of(text)).alias("h"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0),
             lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"))
     scored = base.select(
-        "doc_id", F.size("h").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+        "row", F.size("h").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
         let(F.col("h"), lambda h: _repeat_words(h, cfg.window)).alias("n_repeat_words"),
         let(_grams(F.col("h"), cfg), lambda g: F.when(F.size(g) > 0, F.aggregate(
             g, F.lit(0.0), lambda a, b: a + F.get(w, b)) / F.size(g))).alias("llr"))
@@ -144,10 +134,23 @@ def quality(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig = QualityCon
         "kept", ~F.col("base_failed") & (F.coalesce("llr", F.lit(0.0)) >= cfg.threshold))
 
 
-def keep_good(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id",
-              text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id passed, with all their columns."""
-    good = quality(docs, trusted, cfg, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__keep"))
-    return docs.join(good, docs[id_col] == good["__keep"], "left_semi")
+def quality(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id",
+            text_col: str = "text") -> DataFrame:
+    """One row per input row with base counts, score and verdict.
 
+    doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
+    base_failed, kept (boolean), llr (double, null without words).
 
+    A null or empty text has no words, so it fails the base rule. Repeated rows
+    and null ids are judged row by row (a null id is never trusted). An empty
+    table gives no rows; extra columns are ignored.
+    """
+    return _judged(docs, trusted, cfg, id_col, text_col).select(
+        F.col("row").getField(id_col).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words", "base_failed", "kept", "llr")
+
+
+def keep_good(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id",
+              text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, each judged on its own, with all their columns."""
+    return _judged(docs, trusted, cfg, id_col, text_col).filter("kept").select("row.*")

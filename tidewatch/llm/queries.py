@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import exact_dedup, quality_rules
+from tidewatch.llm import exact_dedup, merge_rounds, quality_rules, token_counts
 from tidewatch.plans.panel import table
 
+#: The tokenizer of the token queries, and the most tokens a document should have.
+PIECE_MODEL, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
+
 BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+def tokenizer_path(name: str = PIECE_MODEL) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, check: str | None = None):
     def add(fn):
         BUILDERS[name] = fn
@@ -35,7 +44,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), TOKEN_LIMIT)
+
+
 @query("op6_quality_rules")
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality_rules.trusted_ids(table(spark, sf_dir, "labels"), quality_rules.QualityConfig())
     return quality_rules.quality(table(spark, sf_dir, "documents"), trusted)
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_rounds.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
