@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, merge_rounds, quality_rules, token_counts
+from tidewatch.llm import exact_dedup, language_id, merge_rounds, quality_rules, token_counts
 from tidewatch.plans.panel import table
 
 #: The tokenizer of the token queries, and the most tokens a document should have.
@@ -44,6 +45,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    model = language_id.train(docs.filter(~held))
+    named = language_id.predict(docs, model)
+    return named.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query("op4_token_counts")
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), TOKEN_LIMIT)
