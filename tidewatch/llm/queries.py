@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, language_id, merge_rounds, quality_rules, token_counts
+from tidewatch.llm import exact_dedup, language_id, merge_rounds, mixing, quality_rules, token_counts
 from tidewatch.plans.panel import table
 
 #: The tokenizer of the token queries, and the most tokens a document should have.
@@ -65,6 +65,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), trusted)
 
 
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 @query("op9_sentencepiece")
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_rounds.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
