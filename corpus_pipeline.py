@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import exact_dedup, quality_rules
+from tidewatch.llm import exact_dedup, golay_simhash, merge_rounds, mixing, quality_rules
 from tidewatch.llm.common import stored
+from tidewatch.llm.queries import tokenizer_path
 from tidewatch.plans.panel import table
 
 
@@ -24,7 +25,25 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near-equal fingerprints the one with the smallest id stays."""
+    return golay_simhash.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often (0, 1 or 2 times) as the mix takes it."""
+    return mixing.mix_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, digested, with their decoding."""
+    return merge_rounds.round_trip(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", quality), ("exact dedup", exact), ("simhash near-dedup", near), ("source mixing", mix),
+    ("sentencepiece", encode),
+]
 
 #: The score, fingerprint and tokenizer have no SQL form; tested by brute force.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, language_id, merge_rounds, mixing, quality_rules, token_counts
+from tidewatch.llm import exact_dedup, golay_simhash, language_id, merge_rounds, mixing, quality_rules, token_counts
 from tidewatch.plans.panel import table
 
 #: The tokenizer of the token queries, and the most tokens a document should have.
@@ -73,3 +73,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sentencepiece")
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_rounds.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op10_simhash")
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_simhash.near_groups(table(spark, sf_dir, "documents"))
