@@ -114,24 +114,27 @@ def _repeat_words(hashes: Column, window: int) -> Column:
 
 
 def _judged(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig, id_col: str, text_col: str) -> DataFrame:
-    """Counts, score and verdict of each row, and the whole input row as ``row``."""
+    """Score and verdict ``v`` of each row, and the whole input row as ``row``."""
     w = _constant(gram_weights(gram_counts(docs, trusted, cfg, id_col, text_col), cfg).first()["w"])
     text = F.col("text")
-    base = docs.select(F.struct("*").alias("row"), whole_text(text_col).alias("text")).select(
-        "row",
-        _hashed(words_of(text)).alias("h"),
-        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0),
-            lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"))
-    scored = base.select(
-        "row", F.size("h").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
-        let(F.col("h"), lambda h: _repeat_words(h, cfg.window)).alias("n_repeat_words"),
-        let(_grams(F.col("h"), cfg), lambda g: F.when(F.size(g) > 0, F.aggregate(
-            g, F.lit(0.0), lambda a, b: a + F.get(w, b)) / F.size(g))).alias("llr"))
-    failed = (F.col("n_words") < cfg.min_words) | (100 * F.col("n_repeat_words") > cfg.max_repeat_pct * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.coalesce("llr", F.lit(0.0)) >= cfg.threshold))
+
+    def measured(h: Column) -> Column:
+        llr = let(_grams(h, cfg), lambda g: F.when(F.size(g) > 0, F.aggregate(
+            g, F.lit(0.0), lambda a, b: a + F.get(w, b)) / F.size(g)))
+        return F.struct(F.size(h).cast("long").alias("n_words"), _repeat_words(h, cfg.window).alias("n_repeat_words"),
+                        llr.alias("llr"))
+
+    def decided(m: Column) -> Column:
+        failed = (m["n_words"] < cfg.min_words) | (100 * m["n_repeat_words"] > cfg.max_repeat_pct * m["n_words"])
+        good = ~failed & (F.coalesce(m["llr"], F.lit(0.0)) >= cfg.threshold)
+        return F.struct(m["n_words"].alias("n_words"), m["n_repeat_words"].alias("n_repeat_words"), m["llr"].alias("llr"),
+                        failed.alias("base_failed"), good.alias("kept"))
+
+    # one expression that names every intermediate value: a filter on it may be
+    # pushed down and inlined without repeating any work
+    verdict = let(let(_hashed(words_of(text)), measured), decided)
+    return docs.select(F.struct("*").alias("row"), whole_text(text_col).alias("text")).select(
+        "row", "text", verdict.alias("v"))
 
 
 def quality(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id",
@@ -145,12 +148,17 @@ def quality(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig = QualityCon
     and null ids are judged row by row (a null id is never trusted). An empty
     table gives no rows; extra columns are ignored.
     """
+    text = F.col("text")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     return _judged(docs, trusted, cfg, id_col, text_col).select(
-        F.col("row").getField(id_col).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        "n_repeat_words", "base_failed", "kept", "llr")
+        F.col("row").getField(id_col).alias("doc_id"), "v.n_words",
+        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+        "v.n_repeat_words", "v.base_failed", "v.kept", "v.llr")
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, each judged on its own, with all their columns."""
-    return _judged(docs, trusted, cfg, id_col, text_col).filter("kept").select("row.*")
+    return _judged(docs, trusted, cfg, id_col, text_col).filter("v.kept").select("row.*")

@@ -58,8 +58,8 @@ def _counted(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
             held = [words[i] for i in own]
             rows.append({
                 "bucket": int(b), "slice": base + no, "names": "".join(held).encode(),
-                "name_chars": np.array([len(w) for w in held], np.uint32).tobytes(),
-                "per_name": per.astype(np.uint32).tobytes(), "docs": doc_at[at].tobytes(), "times": times[at].tobytes()})
+                "name_chars": _packed(np.array([len(w) for w in held])),
+                "per_name": _packed(per), "docs": _packed(doc_at[at]), "times": _packed(times[at])})
         sizes = pa.compute.binary_length(part.column("text")).to_pylist()
         rows.append({
             "bucket": no % buckets, "slice": base + no, "ids": part.column("doc_id").to_pylist(),
@@ -74,6 +74,16 @@ _SUMS = pa.schema([("slice", pa.int64()), ("docs", pa.binary()), ("n", pa.binary
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Counts in the least width that holds them, told by the first byte."""
+    width = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([width.itemsize]) + values.astype(width).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+
+
 def piece_counts(words: list[str], sp) -> list[int]:
     """Pieces of each pre-token; its first space is the one the library adds."""
     alone = 1 if sp.piece_to_id("▁") != sp.unk_id() else 3
@@ -90,15 +100,15 @@ def _summed(batches: Iterator[pa.RecordBatch], proto: bytes) -> Iterator[pa.Reco
             if r["ids"] is not None:
                 rows.append({"slice": r["slice"], "ids": r["ids"], "sizes": r["sizes"]})
                 continue
-            text, ends = r["names"].decode(), np.cumsum(np.frombuffer(r["name_chars"], np.uint32)).tolist()
+            text, ends = r["names"].decode(), np.cumsum(_unpacked(r["name_chars"])).tolist()
             words = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             if new := [w for w in words if w not in known]:
                 known.update(zip(new, piece_counts(new, sp), strict=True))
-            each = np.repeat(np.array([known[w] for w in words], np.int64), np.frombuffer(r["per_name"], np.uint32))
-            docs = np.frombuffer(r["docs"], np.uint32)
-            n = np.bincount(docs, weights=each * np.frombuffer(r["times"], np.uint32)).astype(np.int64)
+            each = np.repeat(np.array([known[w] for w in words], np.int64), _unpacked(r["per_name"]))
+            docs = _unpacked(r["docs"])
+            n = np.bincount(docs, weights=each * _unpacked(r["times"])).astype(np.int64)
             at = np.flatnonzero(n)
-            rows.append({"slice": r["slice"], "docs": at.astype(np.uint32).tobytes(), "n": n[at].tobytes()})
+            rows.append({"slice": r["slice"], "docs": _packed(at), "n": _packed(n[at])})
         yield pa.RecordBatch.from_pylist(rows, schema=_SUMS)
 
 
@@ -110,7 +120,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["ids"] is not None:
                 heads[r["slice"]] = r["ids"], r["sizes"]
                 continue
-            at, n = np.frombuffer(r["docs"], np.uint32), np.frombuffer(r["n"], np.int64)
+            at, n = _unpacked(r["docs"]), _unpacked(r["n"])
             have = sums.setdefault(r["slice"], np.zeros(0, np.int64))
             if len(at) and at[-1] >= len(have):
                 have = sums[r["slice"]] = np.concatenate([have, np.zeros(int(at[-1]) + 1 - len(have), np.int64)])
