@@ -30,7 +30,7 @@ class QualityConfig:
     min_words, max_repeat_pct, window: the base rules.
     """
 
-    buckets: int = 16384
+    buckets: int = 4096
     trusted_rows: int = 20_000
     threshold: float = -0.05
     min_words: int = 20
