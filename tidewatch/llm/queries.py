@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, golay_simhash, language_id, merge_rounds, mixing, quality_rules, token_counts
+from tidewatch.llm import exact_dedup, golay_simhash, language_id, merge_rounds, mixing, quality_rules, repeated_bytes, token_counts
 from tidewatch.plans.panel import table
 
 #: The tokenizer of the token queries, and the most tokens a document should have.
@@ -45,6 +45,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
