@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, golay_simhash, language_id, merge_rounds, mixing, quality_rules, repeated_bytes, token_counts
+from tidewatch.llm import exact_dedup, golay_simhash, language_id, line_dedup, merge_rounds, mixing, quality_rules, repeated_bytes, token_counts
 from tidewatch.plans.panel import table
 
 #: The tokenizer of the token queries, and the most tokens a document should have.
@@ -70,6 +70,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), trusted)
 
 
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"))
+
+
 @query("op8_mixing")
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
