@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, golay_simhash, language_id, line_dedup, merge_rounds, mixing, quality_rules, repeated_bytes, token_counts
+from tidewatch.llm import exact_dedup, golay_simhash, language_id, line_dedup, merge_rounds, mixing, quality_rules, repeated_bytes, token_counts, training_order
 from tidewatch.plans.panel import table
+from tidewatch.session import fresh_path
 
 #: The tokenizer of the token queries, and the most tokens a document should have.
 PIECE_MODEL, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
@@ -64,6 +65,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), TOKEN_LIMIT)
 
 
+@query("op5_training_order")
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(table(spark, sf_dir, "documents"), fresh_path(spark, "shards"), tokenizer_path())
+
+
 @query("op6_quality_rules")
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality_rules.trusted_ids(table(spark, sf_dir, "labels"), quality_rules.QualityConfig())
