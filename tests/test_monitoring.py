@@ -63,8 +63,8 @@ def test_stream_over_several_triggers_equals_batch(spark):
         events(spark, [r for r in rows if r["arrival_seq"] == part]).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(MONITOR_EVENT).option("maxFilesPerTrigger", 3).parquet(src)
     out = fresh_path(spark, "out")
-    S.drain(S.governance_stream(stream), out, fresh_path(spark, "cp"))
-    got = spark.read.parquet(out).select(*G.run_governance(events(spark, rows)).columns)
+    S.drain(stream, lambda df, i: S.govern(df, i, out), fresh_path(spark, "cp"))
+    got = spark.read.parquet(f"{out}/outcomes").select(*G.run_governance(events(spark, rows)).columns)
     want = G.run_governance(events(spark, rows))
     assert outcomes(got) == WANT
     assert got.exceptAll(want).count() == 0
@@ -100,9 +100,30 @@ def test_online_features_equal_batch(spark):
                                "physical_progress double, approved_cost double, revised_cost double, schedule_deviation double").withColumns(
         {"sector": F.lit("Power"), "original_completion_date": F.lit("2022-01"), "revised_completion_date": F.lit(None).cast("string")})
     src, out = fresh_path(spark, "obs"), fresh_path(spark, "feat")
-    df.coalesce(1).write.parquet(src)
-    S.drain(S.feature_stream(spark.readStream.schema(df.schema).parquet(src)), out, fresh_path(spark, "cp"))
+    for a in range(0, n, 2):  # several triggers: state carries lags and the mean over
+        df.where((F.col("arrival_seq") >= a) & (F.col("arrival_seq") < a + 2)).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    S.drain(stream, S.monitoring(out), fresh_path(spark, "cp"))
     cols = ["reporting_month", "V_fin_1m", "V_fin_3m", "A_fin", "A_exp", "V_phys_3m", "EWMA_V_fin", "observation_number", "trajectory_risk_score"]
-    got = spark.read.parquet(out).select(*cols).orderBy("reporting_month").collect()
+    got = spark.read.parquet(f"{out}/features").select(*cols).orderBy("reporting_month").collect()
     want = K.kinetics(timeline(df), peers=K.empty_peers(spark)).select(*cols).orderBy("reporting_month").collect()
     assert got == want
+    # the chain goes on to governance: one outcome per accepted observation, and its ledger
+    assert spark.read.parquet(f"{out}/outcomes").count() == n
+    assert spark.read.parquet(f"{out}/ledger").where("event_type = 'MONTHLY_REPORT_SUBMITTED'").count() == n
+    assert spark.read.parquet(f"{out}/rejects").count() == 0
+
+
+def test_stream_rejects_late_and_repeated_months_over_triggers(spark):
+    rows = [(1, "A", "2020-03"), (2, "A", "2020-05"), (3, "A", "2020-04"), (4, "A", "2020-03"), (5, "B", "bad"), (6, "A", "2020-05"), (7, "A", "2020-06")]
+    df = spark.createDataFrame(rows, "arrival_seq int, project_id string, reporting_month string").withColumns(
+        {**{c: F.lit(1.0) for c in ("financial_progress", "expenditure", "physical_progress", "approved_cost", "revised_cost", "schedule_deviation")},
+         "sector": F.lit("Power")})
+    src, out = fresh_path(spark, "obs"), fresh_path(spark, "rej")
+    for seq, *_ in rows:
+        df.where(F.col("arrival_seq") == seq).coalesce(1).write.mode("append").parquet(src)
+    S.drain(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src), S.monitoring(out), fresh_path(spark, "cp"))
+    got = {r["arrival_seq"]: r["reject_reason"] for r in spark.read.parquet(f"{out}/rejects").collect()}
+    assert got == {3: "CHRONOLOGY_VIOLATION", 4: "DUPLICATE_MONTH", 5: "INVALID_MONTH", 6: "DUPLICATE_MONTH"}
+    kept = spark.read.parquet(f"{out}/features").orderBy("reporting_month").collect()
+    assert [(r["reporting_month"], r["observation_number"]) for r in kept] == [("2020-03", 1), ("2020-05", 2), ("2020-06", 3)]

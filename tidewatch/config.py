@@ -35,6 +35,9 @@ RESPONSE_DAYS = 15
 
 @dataclass(frozen=True)
 class GbdtConfig:
+    """Boosted trees. Fitting stops before ``trees`` when a tree lowers the
+    validation loss by less than ``tolerance`` of it."""
+
     trees: int = 300
     learning_rate: float = 0.05
     max_depth: int = 6
@@ -42,6 +45,7 @@ class GbdtConfig:
     row_sample: float = 0.8
     column_sample: float = 0.8
     seed: int = 42
+    tolerance: float = 0.005
 
 
 @dataclass(frozen=True)

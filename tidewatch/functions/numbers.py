@@ -63,6 +63,22 @@ def to_number(c: Column) -> Column:
     return no_nan(F.trim(c.cast("string")).try_cast("double"))
 
 
+def exact_sum(c: Column, digits: int) -> Column:
+    """Sum of values that have at most ``digits`` decimals, in whole units.
+
+    Integer addition gives the same total in any order of rows.
+    """
+    scale = 10.0**digits
+    return F.sum(F.rint(c * scale).cast("bigint")).cast("double") / F.lit(scale)
+
+
+def exact_mean(c: Column, digits: int, weight: Column | None = None) -> Column:
+    """Mean over the non-NULL values, from an integer sum."""
+    scale, w = 10.0**digits, F.lit(1) if weight is None else weight
+    total = F.sum(F.rint(c * scale).cast("bigint") * w).cast("double")
+    return total / F.sum(F.when(c.isNotNull(), w)).cast("double") / F.lit(scale)
+
+
 def is_true(c: Column) -> Column:
     """A comparison whose NULL outcome counts as false."""
     return F.coalesce(c, F.lit(False))

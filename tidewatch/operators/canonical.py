@@ -231,10 +231,9 @@ def extraction_confidence(raw: DataFrame) -> DataFrame:
 def inspect_documents(pages: DataFrame) -> DataFrame:
     """Pages, text-or-scan verdict and official codes of each document.
 
-    Input: ``filename, page, text``. The verdict needs the first five pages
-    only, a bounded piece of any document.
+    Input: ``filename, page, text``; all pages count.
     """
-    head = F.when(F.col("page") <= 5, F.length(F.trim("text"))).otherwise(0)
+    head = F.coalesce(F.length(F.trim("text")), F.lit(0))
     sizes = pages.groupBy("filename").agg(
         F.countDistinct("page").alias("pages"), (F.sum(head) > 100).alias("is_text"))
     codes = pages.select("filename", F.explode(F.expr(f"regexp_extract_all(text, r'{PROJECT_CODE}', 0)")).alias("code")).distinct()

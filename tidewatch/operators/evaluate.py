@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.numbers import half_even
+from tidewatch.functions.numbers import exact_mean, half_even
 from tidewatch.operators.policies import risk_tier
 from tidewatch.operators.ranking import running_totals
 
@@ -138,7 +138,7 @@ def reliability(hist: DataFrame, n_bins: int = 10) -> DataFrame:
     slot = F.least(F.greatest(_edges_passed(F.col("score"), edges), F.lit(1)), F.lit(n_bins))
     filled = hist.groupBy(slot.alias("bin")).agg(
         F.sum("n").alias("count"),
-        (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("avg_p"),
+        exact_mean(F.col("score"), DIGITS, F.col("n")).alias("avg_p"),
         (F.sum("pos") / F.sum("n")).alias("avg_y"))
     bins = hist.sparkSession.range(1, n_bins + 1).select(F.col("id").cast("int").alias("bin"))
     b = F.col("bin")
@@ -160,8 +160,8 @@ def calibration_error(hist: DataFrame, n_bins: int = 10) -> DataFrame:
     slot = F.least(F.greatest(_edges_passed(F.col("score"), [i * step for i in range(n_bins + 1)]), F.lit(1)),
                    F.lit(n_bins))
     bins = hist.groupBy(slot.alias("bin")).agg(
-        F.sum("n").alias("n"), F.sum(F.col("score") * F.col("n")).alias("sp"), F.sum("pos").alias("sy"))
-    return bins.agg(half_even(F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.sum("n"), 4).alias("ece"))
+        F.sum("n").alias("n"), F.sum(F.rint(F.col("score") * 10.0**DIGITS).cast("bigint") * F.col("n")).alias("sp"), F.sum("pos").alias("sy"))
+    return bins.agg(half_even(F.sum(F.abs(F.col("sp") - F.col("sy") * 10**DIGITS)).cast("double") / F.sum("n") / 10.0**DIGITS, 4).alias("ece"))
 
 
 def operating_points(
@@ -220,7 +220,7 @@ def tier_distribution(hist: DataFrame, by: str) -> DataFrame:
     return h.groupBy(by).agg(
         F.sum("n").alias("observations"),
         half_even(F.sum("pos") / F.sum("n"), 6).alias("prevalence"),
-        half_even(F.sum(F.col("score") * n) / F.sum("n"), 6).alias("mean_prob"),
+        half_even(exact_mean(F.col("score"), DIGITS, n), 6).alias("mean_prob"),
         # at most 10,001 distinct scores, so the exact median stays small
         half_even(F.percentile("score", 0.5, n), 6).alias("median_prob"),
         *[share(t).alias(f"{t.lower()}_pct") for t in ("NORMAL", "WATCH", "REVIEW", "ESCALATE")],

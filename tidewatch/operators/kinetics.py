@@ -94,16 +94,19 @@ def motion(df: DataFrame) -> DataFrame:
 
 
 def decayed_mean(values: Column, alpha: float) -> Column:
-    """Fold an array into its running exponential mean, oldest first.
+    """Running exponential mean of an array, oldest first."""
+    return decayed_fold(values, alpha, F.lit(None).cast("double"), F.lit(1.0))["out"]
+
+
+def decayed_fold(values: Column, alpha: float, mean: Column, weight: Column) -> Column:
+    """Fold an array into its running exponential mean, from a given start.
 
     A NULL value repeats the mean and lets the weight of the past decay; the
-    mean is NULL until the first value.
+    mean is NULL until the first value. Gives the means (``out``) and the last
+    ``mean`` and ``weight``, from which a later fold goes on.
     """
     start = F.struct(
-        F.array().cast("array<double>").alias("out"),
-        F.lit(None).cast("double").alias("mean"),
-        F.lit(1.0).alias("weight"),
-    )
+        F.array().cast("array<double>").alias("out"), mean.cast("double").alias("mean"), weight.cast("double").alias("weight"))
 
     def step(acc: Column, x: Column) -> Column:
         aged = acc["weight"] * F.lit(1.0 - alpha)
@@ -121,7 +124,7 @@ def decayed_mean(values: Column, alpha: float) -> Column:
             weight.alias("weight"),
         )
 
-    return F.aggregate(values, start, step, lambda acc: acc["out"])
+    return F.aggregate(values, start, step)
 
 
 def with_ewma(df: DataFrame, value: str, out: str, alpha: float) -> DataFrame:

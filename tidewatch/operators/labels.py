@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import COST_SENSITIVITY, HORIZONS
 from tidewatch.functions.numbers import is_true
 from tidewatch.operators.kinetics import baseline_cost, target_completion
-from tidewatch.operators.timeline import entity, history, with_month_index
+from tidewatch.operators.timeline import checked_months, entity, history
 
 MIN_HISTORY = 4
 
@@ -94,11 +94,11 @@ def with_labels(
 def targets(
     panel: DataFrame, horizons: Mapping[int, tuple[float, float]] = HORIZONS
 ) -> DataFrame:
-    """Labels alone, at the panel's grain."""
+    """Labels alone, at the panel's grain; a repeated month fails the job."""
     keep = ["project_id", "reporting_month", "eligible_features"]
     for h in horizons:
         keep += label_columns(h)
-    return with_labels(with_month_index(panel), horizons).select(*keep)
+    return with_labels(checked_months(panel), horizons).select(*keep)
 
 
 def cost_sensitivity(

@@ -40,6 +40,7 @@ def heuristic_probability() -> Column:
 
 
 def risk_tier(p: Column) -> Column:
+    """Tier of a probability; NULL counts as NORMAL."""
     return (
         F.when(p >= ESCALATE, F.lit("ESCALATE")).when(p >= REVIEW, F.lit("REVIEW"))
         .when(p >= WATCH, F.lit("WATCH")).otherwise(F.lit("NORMAL"))
@@ -51,14 +52,16 @@ def tier_rank(tier: Column) -> Column:
 
 
 def is_alert(p: Column) -> Column:
-    return p >= WATCH
+    """Unknown probabilities raise no alert."""
+    return is_true(p >= WATCH)
 
 
 def with_heuristic_score(df: DataFrame) -> DataFrame:
-    """Rows that have a risk score, with ``p``, tier and alert flag."""
+    """Add ``p``, tier and alert flag to every row.
+
+    A row without a score keeps its place: ``p`` is NULL, the tier NORMAL, and
+    there is no alert.
+    """
     p = F.col("p")
-    return (
-        df.where(F.col("trajectory_risk_score").isNotNull())
-        .withColumn("p", heuristic_probability())
-        .withColumns({"risk_tier": risk_tier(p), "alert": is_alert(p)})
-    )
+    return df.withColumn("p", heuristic_probability()).withColumns(
+        {"risk_tier": risk_tier(p), "alert": is_alert(p)})

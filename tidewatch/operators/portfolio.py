@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.identity import is_genuine, is_macro_summary, macro_reason
-from tidewatch.functions.numbers import half_even
+from tidewatch.functions.numbers import exact_mean, exact_sum, half_even
 from tidewatch.operators.policies import TIERS, risk_tier, tier_rank
 from tidewatch.operators.ranking import exact_percentiles, running_totals
-from tidewatch.session import with_known_size
 
 AGE_EDGES = [(-1, 12, "< 1 yr"), (12, 36, "1-3 yrs"), (36, 60, "3-5 yrs"), (60, 120, "5-10 yrs"), (120, 1000, "> 10 yrs")]
 
@@ -67,9 +66,9 @@ def summary(scored: DataFrame) -> DataFrame:
     cost = F.col("baseline_cost")
     return scored.agg(
         F.count("*").alias("active_project_count"),
-        half_even(F.coalesce(F.sum(cost), F.lit(0.0)), 2).alias("active_baseline_exposure"),
-        half_even(F.coalesce(F.sum(F.when(F.col("risk_tier") == "ESCALATE", cost)), F.lit(0.0)), 2).alias("exposure_in_escalate"),
-        half_even(F.coalesce(F.sum("risk_weighted_exposure"), F.lit(0.0)), 2).alias("risk_weighted_exposure"),
+        half_even(F.coalesce(exact_sum(cost, 2), F.lit(0.0)), 2).alias("active_baseline_exposure"),
+        half_even(F.coalesce(exact_sum(F.when(F.col("risk_tier") == "ESCALATE", cost), 2), F.lit(0.0)), 2).alias("exposure_in_escalate"),
+        half_even(F.coalesce(exact_sum(F.col("risk_weighted_exposure"), 2), F.lit(0.0)), 2).alias("risk_weighted_exposure"),
         *[_tier_count(t).alias(f"{t.lower()}_count") for t in TIERS])
 
 
@@ -85,7 +84,7 @@ def sector_breakdown(scored: DataFrame) -> DataFrame:
     return scored.groupBy(F.col("sector_display").alias("sector")).agg(
         F.count("*").alias("total_projects"),
         *[_tier_count(t).alias(f"{t.lower()}_count") for t in ("ESCALATE", "REVIEW", "WATCH")],
-        half_even(F.sum("baseline_cost"), 2).alias("total_exposure"),
+        half_even(exact_sum(F.col("baseline_cost"), 2), 2).alias("total_exposure"),
     ).orderBy(F.desc("total_exposure"), "sector")
 
 
@@ -104,7 +103,7 @@ def interventions(
     """Top entities by risk-weighted exposure, with the size of the pool.
 
     The total is a scalar subquery next to a top-k plan; nothing is ranked in
-    one task.
+    one task. Both read ``scored``, which should be a stored snapshot.
     """
     pool = eligible(scored, sector, min_tier)
     total = pool.agg(F.count("*").alias("n")).scalar()
@@ -208,7 +207,7 @@ def tier_profile(scored: DataFrame) -> DataFrame:
     hist = scored.groupBy("risk_tier", "latest_risk").agg(F.count("*").alias("n"))
     per = hist.groupBy("risk_tier").agg(
         F.sum("n").alias("projects"),
-        half_even(F.sum(F.col("latest_risk") * F.col("n")) / F.sum("n"), 6).alias("mean_prob"),
+        half_even(exact_mean(F.col("latest_risk"), 4, F.col("n")), 6).alias("mean_prob"),
         half_even(F.percentile("latest_risk", 0.5, F.col("n")), 6).alias("median_prob"))
     share = F.col("projects") / F.sum("projects").over(Window.partitionBy(F.lit(1)))
     zero = {"projects": 0, "mean_prob": 0.0, "median_prob": 0.0}
@@ -229,7 +228,7 @@ def escalate_shares(scored: DataFrame) -> DataFrame:
     keyed = base.select("risk_tier", "latest_risk", *[F.col(c).alias(k) for k, c in dims.items()])
     g = keyed.groupingSets([[F.col(k)] for k in dims], *dims).agg(
         F.grouping_id().alias("_g"), F.count("*").alias("total"), _tier_count("ESCALATE").alias("escalate"),
-        half_even(F.avg("latest_risk"), 6).alias("mean_prob"))
+        half_even(exact_mean(F.col("latest_risk"), 4), 6).alias("mean_prob"))
     ids = {k: (1 << len(dims)) - 1 - (1 << (len(dims) - 1 - i)) for i, k in enumerate(dims)}
     name = F.coalesce(*[F.when(F.col("_g") == v, F.lit(k)) for k, v in ids.items()])
     value = F.coalesce(*[F.when(F.col("_g") == ids[k], F.col(k)) for k in dims])
@@ -254,7 +253,7 @@ def driver_statistics(scored: DataFrame) -> DataFrame:
     for c, (_, test) in DRIVERS.items():
         beyond = F.when(F.col("driver") == c, test(F.col("value"))).otherwise(beyond)
     base = tall.groupBy("driver").agg(
-        half_even(F.avg("value"), 6).alias("mean"), half_even(F.avg(beyond.cast("double")) * 100.0, 4).alias("pct_beyond"))
+        half_even(exact_mean(F.col("value"), 6), 6).alias("mean"), half_even(F.sum(beyond.cast("bigint")) / F.count("*") * 100.0, 4).alias("pct_beyond"))
     med = exact_percentiles(tall, ["driver"], "value", [0.5])
     return base.join(med, "driver").withColumnRenamed("p0", "median").withColumn("median", half_even(F.col("median"), 6))
 
@@ -266,12 +265,12 @@ def window_sensitivity(scored: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
     """
     met = F.filter(F.array(*[F.lit(c) for c in cutoffs]), lambda c: c <= F.col("reporting_month"))
     hist = scored.withColumn("cutoff", F.explode(met)).groupBy("cutoff", "latest_risk", "risk_tier").agg(
-        F.count("*").alias("n"), F.sum("baseline_cost").alias("cost"), F.sum("risk_weighted_exposure").alias("rwe"))
+        F.count("*").alias("n"), exact_sum(F.col("baseline_cost"), 2).alias("cost"), exact_sum(F.col("risk_weighted_exposure"), 2).alias("rwe"))
     n = F.col("n")
     return hist.groupBy("cutoff").agg(
-        F.sum("n").alias("projects"), half_even(F.sum("cost"), 2).alias("exposure"),
-        half_even(F.sum("rwe"), 2).alias("risk_weighted_exposure"),
-        half_even(F.sum(F.col("latest_risk") * n) / F.sum("n"), 6).alias("mean_risk"),
+        F.sum("n").alias("projects"), half_even(exact_sum(F.col("cost"), 2), 2).alias("exposure"),
+        half_even(exact_sum(F.col("rwe"), 2), 2).alias("risk_weighted_exposure"),
+        half_even(exact_mean(F.col("latest_risk"), 4, n), 6).alias("mean_risk"),
         half_even(F.percentile("latest_risk", 0.5, n), 6).alias("median_risk"),
         *[F.sum(F.when(F.col("risk_tier") == t, n).otherwise(0)).alias(f"{t.lower()}_count") for t in TIERS])
 
@@ -282,7 +281,7 @@ def shared_names(snapshot: DataFrame) -> DataFrame:
     Counts per name are joined back, so a very common name is never collected.
     """
     n = snapshot.groupBy("project_name").agg(F.count("*").alias("ids_with_name")).where("ids_with_name > 1")
-    return snapshot.select("project_id", "project_name").join(with_known_size(n), "project_name")
+    return snapshot.select("project_id", "project_name").join(n, "project_name")
 
 
 # Words a sanitised name is scanned for.
@@ -308,5 +307,5 @@ def reconciliation(scored_all: DataFrame, cutoff: str) -> DataFrame:
         F.when(is_genuine(pid, name), F.lit("3_genuine")),
         F.when(is_genuine(pid, name) & (F.col("reporting_month") >= cutoff), F.lit("4_active"))))
     return scored_all.withColumn("step", F.explode(steps)).groupBy("step").agg(
-        F.count("*").alias("projects"), half_even(F.sum("baseline_cost"), 2).alias("exposure"),
+        F.count("*").alias("projects"), half_even(exact_sum(F.col("baseline_cost"), 2), 2).alias("exposure"),
         _tier_count("ESCALATE").alias("escalate_count"))

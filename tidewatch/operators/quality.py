@@ -59,6 +59,15 @@ def coverage_profile(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
         "present_share", F.col("present") / F.col("row_count"))
 
 
+def era_coverage(panel: DataFrame, eras: Sequence[tuple[str, str, str]], columns: Sequence[str]) -> DataFrame:
+    """Non-null share of each column by era; an era is a name with its first and last year."""
+    year = F.substring("reporting_month", 1, 4)
+    era = F.coalesce(*[F.when(year.between(a, b), F.lit(n)) for n, a, b in eras])
+    wide = panel.groupBy(era.alias("era")).agg(F.count("*").alias("row_count"), *[F.count(c).alias(c) for c in columns])
+    return wide.unpivot(["era", "row_count"], list(columns), "field", "present").withColumn(
+        "present_share", F.col("present") / F.col("row_count"))
+
+
 def negative_values(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Negative amounts by column and kind of row they stand in."""
     kind = F.when(F.col("project_id").startswith("PRJ_"), F.lit("DERIVED_ID")).otherwise(F.lit("OFFICIAL_ID"))

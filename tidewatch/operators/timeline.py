@@ -28,6 +28,21 @@ def history() -> WindowSpec:
     return entity().orderBy("month_idx")
 
 
+def checked_months(panel: DataFrame) -> DataFrame:
+    """Month index that fails the job on a repeated or unparsable month.
+
+    Every later window orders by this column, so no plan can prune the check
+    away. It shares the one exchange on the entity.
+    """
+    df = with_month_index(panel)
+    step = F.col("month_idx") - F.lag("month_idx").over(history())
+    failed = (step <= 0) | F.col("month_idx").isNull()
+    complaint = F.raise_error(
+        F.concat_ws(" ", F.lit("month repeats or cannot be read:"), "project_id", "reporting_month")).cast("int")
+    return df.withColumn("_failed", failed).withColumn(
+        "month_idx", F.when(F.col("_failed"), complaint).otherwise(F.col("month_idx"))).drop("_failed")
+
+
 def with_month_index(panel: DataFrame) -> DataFrame:
     if "month_idx" in panel.columns:
         return panel
@@ -65,22 +80,16 @@ def chronology_violations(panel: DataFrame) -> DataFrame:
 def timeline(panel: DataFrame) -> DataFrame:
     """Attach observation number, gap and age; never fills or densifies.
 
-    A repeated or unparsable month fails the running job: the check rides in
-    the gap expression, so it needs no pass of its own.
+    A repeated or unparsable month fails the running job (``checked_months``).
     """
-    df = with_month_index(panel).withColumns(
+    df = checked_months(panel).withColumns(
         {c: to_number(F.col(c)) for c in NUMERIC
          if c in panel.columns and dict(panel.dtypes)[c] == "string"}
     )
     step = F.col("month_idx") - F.lag("month_idx").over(history())
-    failed = (step <= 0) | F.col("month_idx").isNull()
-    complaint = F.raise_error(
-        F.concat_ws(" ", F.lit("month repeats or cannot be read:"), "project_id", "reporting_month")
-    ).cast("double")
     return df.withColumns({
         "observation_number": F.row_number().over(history()),
-        "months_since_previous_observation":
-            F.when(failed, complaint).otherwise(step.cast("double")),
+        "months_since_previous_observation": step.cast("double"),
         "reporting_gap_flag": F.when(step > 1, 1).otherwise(0),
         "project_age_months": F.col("month_idx") - F.min("month_idx").over(entity()),
     })

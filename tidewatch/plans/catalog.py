@@ -13,6 +13,7 @@ MODULES = [
     "portfolio_queries",
     "raw_queries",
     "monitor_queries",
+    "operations_queries",
     "source_queries",
     "model_queries",
 ]

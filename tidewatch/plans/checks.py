@@ -181,9 +181,19 @@ fragment("ds", ("kin", "tgt"), "select * from kin join tgt using (project_id, re
 
 # scored panel: the heuristic score stands in for a probability
 fragment("sc", ("ds",), f"""
-select *, {half_even("trajectory_risk_score/100.0::double", 4)} as p from ds where trajectory_risk_score is not null
+select *, {half_even("trajectory_risk_score/100.0::double", 4)} as p from ds
 """)
 fragment("cohort", ("sc",), "select * from sc where eligible_features=1 and target_observable_12m=1 and overrun_composite_12m is not null")
 
+# money in whole hundredths and risks in whole ten-thousandths: sums do not depend on order
+def paise_sum(expr: str, where: str = "") -> str:
+    return f"cast(sum(cast(round_even({expr}*100.0::double, 0) as bigint)) {where} as double)/100.0::double"
+
+
+def mean_risk(expr: str = "latest_risk", n: str = "1") -> str:
+    return (f"cast(sum(cast(round_even({expr}*10000.0::double, 0) as bigint)*{n}) as double)"
+            f"/cast(sum({n}) filter ({expr} is not null) as double)/10000.0::double")
+
+
 TIER = ("case when {p}>=0.5::double then 'ESCALATE' when {p}>=0.45::double then 'REVIEW' "
         "when {p}>=0.4::double then 'WATCH' else 'NORMAL' end")

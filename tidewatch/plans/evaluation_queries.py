@@ -28,7 +28,7 @@ def _(spark, sf):
 
 
 @query("risk_tiers", C.check(
-    f"select project_id, reporting_month, p, {C.TIER.format(p='p')} as risk_tier, p>=0.4::double as alert from sc", "sc"))
+    f"select project_id, reporting_month, p, {C.TIER.format(p='p')} as risk_tier, coalesce(p>=0.4::double,false) as alert from sc", "sc"))
 def _(spark, sf):
     return B.with_heuristic_score(features(spark, sf)).select(*KEYS, "p", "risk_tier", "alert")
 
@@ -51,7 +51,7 @@ select project_id, reporting_month, month_idx, fold_id, policy, s as p, overrun_
  select *, 'policy_a', cast({_A} as double) from roles where role='test' union all
  select *, 'policy_b', cast({_B} as double) from roles where role='test')
 """)
-C.fragment("hist", ("preds",), f"select fold_id, policy, {C.half_even('p', 4)} as score, count(*) as n, cast(sum(y) as bigint) as pos from preds group by all")
+C.fragment("hist", ("preds",), f"select fold_id, policy, {C.half_even('p', 4)} as score, count(*) as n, cast(sum(y) as bigint) as pos from preds where p is not null group by all")
 C.fragment("hist_all", ("hist",), """
 select fold_id, policy, score, cast(sum(n) as bigint) as n, cast(sum(pos) as bigint) as pos from hist
 group by grouping sets ((policy, fold_id, score),(policy, score))""")
@@ -137,7 +137,7 @@ def _(spark, sf):
 
 
 C.fragment("bins", ("hist",), """
-select b, cast(coalesce(sum(n),0) as bigint) as cnt, sum(score*n)/sum(n) as ap, sum(pos)/sum(n) as ay, sum(score*n) as sp, sum(pos) as sy
+select b, cast(coalesce(sum(n),0) as bigint) as cnt, cast(sum(cast(round_even(score*10000.0::double,0) as bigint)*n) as double)/cast(sum(n) as double)/10000.0::double as ap, sum(pos)/sum(n) as ay, sum(cast(round_even(score*10000.0::double,0) as bigint)*n) as sp, sum(pos)*10000 as sy
 from range(1,11) r(b) left join (select *, greatest(1, least(10, len(list_filter(
   list_transform(range(0,11), lambda i: i*0.1::double), lambda e: e<=score)))) as bb from hist where policy='score') on bb=b group by 1
 """)
@@ -152,7 +152,7 @@ def _(spark, sf):
 
 
 @query("calibration_error", C.check(
-    f"select {C.half_even('sum(abs(sp-sy))/sum(cnt)', 4)} as ece from bins", "bins"))
+    f"select {C.half_even('cast(sum(abs(sp-sy)) as double)/cast(sum(cnt) as double)/10000.0::double', 4)} as ece from bins", "bins"))
 def _(spark, sf):
     return E.calibration_error(score_hist(spark, sf))
 
@@ -185,7 +185,7 @@ _TIERS = ", ".join(
 
 @query("tier_distribution_by_fold", C.check(f"""
 select h.fold_id, cast(sum(n) as bigint) as observations, {C.half_even('sum(pos)/sum(n)', 6)} as prevalence,
-  {C.half_even('sum(score*n)/sum(n)', 6)} as mean_prob, {C.half_even('any_value(md)', 6)} as median_prob, {_TIERS}
+  {C.half_even(C.mean_risk('score', 'n'), 6)} as mean_prob, {C.half_even('any_value(md)', 6)} as median_prob, {_TIERS}
 from hist_all h join (select fold_id, median({C.half_even('p', 4)}) as md from preds where policy='score'
    group by grouping sets ((fold_id),())) m on m.fold_id is not distinct from h.fold_id
 where policy='score' group by 1""", "hist_all", "preds"))
@@ -260,7 +260,7 @@ def replay_source(spark, sf):
 
 
 C.fragment("rp0", ("sc",), """
-select *, coalesce(max(coalesce(C_base,0)) over w,0) as prior_cost, max(schedule_deviation_months) over w as prior_deviation, p>=0.4::double as alert
+select *, coalesce(max(coalesce(C_base,0)) over w,0) as prior_cost, max(schedule_deviation_months) over w as prior_deviation, coalesce(p>=0.4::double,false) as alert
 from sc window w as (partition by project_id order by month_idx rows between unbounded preceding and 1 preceding)""")
 C.fragment("rp", ("rp0",), """
 select *, ch or th as actual_event from (select *, coalesce(prior_cost>0 and C_base>0 and (C_base-prior_cost)/prior_cost >= 0.05::double,false) as ch,
@@ -318,7 +318,7 @@ def _(spark, sf):
 
 @query("replay_chart_points", C.check(f"""
 select project_id, 'M'||observation_number as label, least(100.0::double, (observation_number/n)*100.0::double) as ideal_progress,
- coalesce(financial_progress,0) as reported_progress, coalesce(financial_progress,0)*(1.0::double-p) as discounted_progress
+ coalesce(financial_progress,0) as reported_progress, coalesce(financial_progress,0)*(1.0::double-coalesce(p,0)) as discounted_progress
 from (select *, row_number() over (partition by project_id order by month_idx)-1 as k, count(*) over (partition by project_id) as n from sc)
 where n<=6 or k%cast(ceil(n/5) as bigint)=0 or k=n-1""", "sc"))
 def _(spark, sf):

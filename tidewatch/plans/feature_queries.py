@@ -57,7 +57,7 @@ STATE = ["C_base", "cost_revision_ratio", "expenditure_to_baseline", "financial_
 
 @query("trajectory_motion", C.check(f"select {','.join(KEYS + MOTION)} from mo", "mo"))
 def _(spark, sf):
-    return features(spark, sf).select(*KEYS, *MOTION)
+    return K.motion(K.point_state(timeline(panel(spark, sf)), K.KineticsConfig())).select(*KEYS, *MOTION)
 
 
 @query("trajectory_state", C.check(

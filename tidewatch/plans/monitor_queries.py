@@ -12,7 +12,7 @@ from tidewatch.plans import checks as C
 from tidewatch.plans.feature_queries import features, rounded
 from tidewatch.plans.panel import panel, run_sql
 from tidewatch.plans.registry import query
-from tidewatch.session import fresh_path
+from tidewatch.session import fresh_path, stored
 from tidewatch.streaming import governance as G
 from tidewatch.streaming import intake as N
 from tidewatch.streaming import live as S
@@ -106,22 +106,33 @@ def _(spark, sf):
 # ---- governance over the scored panel ------------------------------------
 
 def governance_events(spark, sf) -> DataFrame:
+    """Observations and responses from one pass over the scored panel."""
     scored = with_heuristic_score(features(spark, sf))
-    obs = scored.select(
-        F.lit("OBSERVE").alias("kind"), "project_id", (F.col("month_idx") * 10).cast("long").alias("arrival_seq"), "reporting_month",
-        F.col("p").alias("risk"), F.col("V_fin_1m").alias("velocity"), F.col("schedule_deviation_months").alias("deviation"),
-        F.col("trajectory_risk_score").alias("score"), F.lit(None).cast("int").alias("persistence_cycles"))
-    resp = scored.where("month_idx % 4 = 0").select(
-        F.lit("RESPOND").alias("kind"), "project_id", (F.col("month_idx") * 10 + 5).cast("long").alias("arrival_seq"), "reporting_month",
-        F.lit(None).cast("string").alias("warning_id"), (F.col("month_idx") % 3 != 0).alias("acknowledged"),
-        F.when(F.col("month_idx") % 5 == 0, " ").otherwise("understood").alias("response_text"), F.lit("more crews").alias("corrective_action"))
-    return obs.unionByName(resp, allowMissingColumns=True)
+    month = F.col("month_idx")
+    none = lambda t: F.lit(None).cast(t)
+    observe = F.struct(
+        F.lit("OBSERVE").alias("kind"), (month * 10).cast("long").alias("arrival_seq"), F.col("p").alias("risk"),
+        F.col("V_fin_1m").alias("velocity"), F.col("schedule_deviation_months").alias("deviation"),
+        F.col("trajectory_risk_score").alias("score"), none("int").alias("persistence_cycles"), none("string").alias("warning_id"),
+        none("boolean").alias("acknowledged"), none("string").alias("response_text"), none("string").alias("corrective_action"))
+    respond = F.struct(
+        F.lit("RESPOND").alias("kind"), (month * 10 + 5).cast("long").alias("arrival_seq"), none("double").alias("risk"),
+        none("double").alias("velocity"), none("double").alias("deviation"), none("double").alias("score"),
+        none("int").alias("persistence_cycles"), none("string").alias("warning_id"), (month % 3 != 0).alias("acknowledged"),
+        F.when(month % 5 == 0, " ").otherwise("understood").alias("response_text"), F.lit("more crews").alias("corrective_action"))
+    both = F.when(month % 4 == 0, F.array(observe, respond)).otherwise(F.array(observe))
+    return scored.select("project_id", "reporting_month", F.explode(both).alias("e")).select("project_id", "reporting_month", "e.*")
 
 
 def outcomes(spark, sf):
     return G.run_governance(governance_events(spark, sf))
 
 
+def kept_outcomes(spark, sf):
+    """The outcomes as a stored table, for results that read them more than once."""
+    return stored(outcomes(spark, sf), "outcomes")
+
+
 C.fragment("gev", ("sc",), """
 select *, row_number() over (partition by project_id order by arrival_seq) as n from (
  select project_id, 'OBSERVE' as kind, cast(month_idx*10 as bigint) as arrival_seq, reporting_month as month, p, V_fin_1m as v, schedule_deviation_months as d, trajectory_risk_score as s, false as fit from sc
@@ -145,7 +156,7 @@ from (select g.* exclude (oc), e.n as n1, e.kind as k, e.arrival_seq as a, e.mon
    when e.p<0.5::double and (coalesce(e.v>0 and (g.wv is null or e.v>g.wv),false) or coalesce(e.d<=g.wd,false) or coalesce(e.s<g.ws,false)) then 'RECOVERED'
    when g.cycles + (case when e.p>=0.5::double then 1 else 0 end) >= 2 then 'ESCALATED' else 'PERSISTENT_DETERIORATION' end as oc
   from gov g join gev e on e.project_id=g.project_id and e.n=g.n+1)""")
-_WID = lambda pid, m: f"'WARN-'||upper(substr(sha256({pid}||'|'||{m}),1,12))"
+_WID = lambda pid, m: f"'WARN-'||upper(sha256({pid}||'|'||{m}))"
 C.fragment("out", (_GOV,), f"""
 select project_id, kind, arrival_seq, month as reporting_month, p as risk, oc as outcome,
  case oc when 'ISSUED' then 'CONTRACTOR_WARNING_ISSUED' when 'RECOVERED' then 'PROJECT_RECOVERED' when 'ESCALATED' then 'AUTHORITY_ESCALATION_ISSUED' else 'NONE' end as action,
@@ -172,7 +183,7 @@ select project_id, arrival_seq, reporting_month, risk, warning_id, cast(i-1 as i
 
 
 @query("audit_ledger", C.check(
-    "select *, 'AUD-'||upper(substr(sha256(project_id||'|'||arrival_seq||'|'||seq),1,12)) as event_id from aud", "aud"))
+    "select *, 'AUD-'||upper(sha256(project_id||'|'||arrival_seq||'|'||seq)) as event_id from aud", "aud"))
 def _(spark, sf):
     return G.audit_ledger(outcomes(spark, sf))
 
@@ -192,7 +203,7 @@ def _(spark, sf):
     return G.warnings(outcomes(spark, sf))
 
 
-_ESC = "select 'ESC-'||upper(substr(sha256(warning_id),1,12)) as escalation_id, project_id, warning_id, arrival_seq, reporting_month, w_risk as risk_at_warning, risk as current_risk, cycles as persistence_duration, response_status from out where outcome='ESCALATED'"
+_ESC = "select 'ESC-'||upper(sha256(warning_id)) as escalation_id, project_id, warning_id, arrival_seq, reporting_month, w_risk as risk_at_warning, risk as current_risk, cycles as persistence_duration, response_status from out where outcome='ESCALATED'"
 C.fragment("esc", ("out",), _ESC)
 
 
@@ -202,11 +213,11 @@ def _(spark, sf):
 
 
 @query("escalation_dossiers", C.check("""
-select e.escalation_id, e.project_id, w.reporting_month as warning_month, (select 'RESP-'||upper(substr(sha256(r.warning_id),1,12)) from out r where r.outcome='RESPONSE_ACCEPTED' and r.warning_id=e.warning_id) as response_id,
+select e.escalation_id, e.project_id, w.reporting_month as warning_month, (select 'RESP-'||upper(sha256(r.warning_id)) from out r where r.outcome='RESPONSE_ACCEPTED' and r.warning_id=e.warning_id) as response_id,
  (select count(*) from aud a where a.project_id=e.project_id and (a.arrival_seq<e.arrival_seq or (a.arrival_seq=e.arrival_seq and a.event_type<>'AUTHORITY_ESCALATION_ISSUED'))) as trail_length
 from esc e join wrn w using (warning_id)""", "esc", "wrn", "aud"))
 def _(spark, sf):
-    return G.escalation_dossiers(outcomes(spark, sf)).select(
+    return G.escalation_dossiers(kept_outcomes(spark, sf)).select(
         "escalation_id", "project_id", "warning_month", "response_id", F.size("trail").cast("long").alias("trail_length"))
 
 
@@ -226,7 +237,7 @@ select r.*, l.* exclude (project_id), coalesce(gs,'ACTIVE') as governance_state
 
 
 def status(spark, sf):
-    return G.project_status(outcomes(spark, sf), panel_registry(spark, sf))
+    return G.project_status(kept_outcomes(spark, sf), panel_registry(spark, sf))
 
 
 @query("project_status", C.check("select * exclude (gs) from pst", "pst"))
@@ -254,7 +265,7 @@ select p.project_id, governance_state, coalesce(wc,0) as warning_count, array_to
 from pst p left join (select project_id, count(*) as wc from wrn group by 1) using (project_id)
 left join (select project_id, list(event_type order by arrival_seq, seq) as ev from aud group by 1) using (project_id)""", "pst", "wrn", "aud"))
 def _(spark, sf):
-    out = outcomes(spark, sf)
+    out = kept_outcomes(spark, sf)
     df = G.brief_facts(out, G.project_status(out, panel_registry(spark, sf)))
     return df.select("project_id", "governance_state", "warning_count", F.array_join("recent_audit_events", ",").alias("recent_audit_events"),
                      "is_escalated", "is_recovering")
@@ -276,28 +287,54 @@ def _staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
-def _drained(stream: DataFrame, label: str) -> DataFrame:
-    spark = stream.sparkSession
-    out = fresh_path(spark, f"{label}-out")
-    S.drain(stream, out, fresh_path(spark, f"{label}-checkpoint"))
-    return spark.read.schema(stream.schema).parquet(out)
+def _drained(stream: DataFrame, handle) -> None:
+    S.drain(stream, handle, fresh_path(stream.sparkSession, "stream-checkpoint"))
 
 
 @query("stream_governance", C.check(f"select {','.join(OUT)} from out", "out"))
 def _(spark, sf):
     """Live outcomes of the whole event history; must equal the batch fold."""
-    return _drained(S.governance_stream(_staged(governance_events(spark, sf), "events")), "governance").select(*OUT)
+    out = fresh_path(spark, "governance")
+    _drained(_staged(governance_events(spark, sf), "events"), lambda df, i: S.govern(df, i, out))
+    return spark.read.parquet(f"{out}/outcomes").select(*OUT)
+
+
+@query("stream_audit_ledger", C.check(
+    "select *, 'AUD-'||upper(sha256(project_id||'|'||arrival_seq||'|'||seq)) as event_id from aud", "aud"))
+def _(spark, sf):
+    """The ledger that the stream appends; must equal the batch ledger."""
+    out = fresh_path(spark, "governance")
+    _drained(_staged(governance_events(spark, sf), "events"), lambda df, i: S.govern(df, i, out))
+    return spark.read.parquet(f"{out}/ledger").drop("batch_id")
 
 
 FEATS = ["V_fin_1m", "V_fin_3m", "A_fin", "V_exp_1m", "A_exp", "V_phys_1m", "A_phys", "schedule_deviation_change", "completion_date_drift",
          "observation_number", "months_since_previous_observation", "reporting_gap_flag", "C_base", "expenditure_to_baseline"]
+# an observation seen alone knows no peers: its z-score is 0
+C.fragment("alone", ("mo", "ew(project_id, observation_number, mean, weight)"), C.FRAGMENTS["kin"][1].replace(
+    "left join peers p using (reporting_month, sector_clean, scale_bucket)", "").replace(
+    "case when p.peer_count>=5 and coalesce(p.peer_v_std,0)>0.01\n           then (V_fin_1m-p.peer_v_mean)/p.peer_v_std else 0.0::double end",
+    "0.0::double"))
 
 
 @query("stream_features", C.check(
-    f"select project_id, reporting_month, {','.join(FEATS)}, {C.half_even('mean', 6)} as EWMA_V_fin from mo join ew using (project_id, observation_number)",
-    "mo", "ew(project_id, observation_number, mean, weight)"))
+    f"select project_id, reporting_month, {','.join(FEATS)}, trajectory_risk_score, {C.half_even('EWMA_V_fin', 6)} as EWMA_V_fin from alone", "alone"))
 def _(spark, sf):
-    """Features computed row by row in state; must equal the batch windows."""
+    """Features and scores of arriving observations; must equal the batch windows."""
     obs = panel(spark, sf).withColumn("arrival_seq", F.col("month_idx").cast("long"))
-    out = _drained(S.feature_stream(_staged(obs, "observations")), "features")
-    return rounded(out.select("project_id", "reporting_month", *FEATS, "EWMA_V_fin"), 6, "EWMA_V_fin")
+    out = fresh_path(spark, "features")
+    _drained(_staged(obs, "observations"), lambda df, i: S.featurise(df, i, out))
+    got = spark.read.parquet(f"{out}/features").select("project_id", "reporting_month", *FEATS, "EWMA_V_fin", "trajectory_risk_score")
+    return rounded(got, 6, "EWMA_V_fin")
+
+
+@query("stream_rejects", C.check(
+    "select arrival_seq, project_id, reporting_month, reject_reason from obs where reject_reason is not null", "obs"))
+def _(spark, sf):
+    """Observations that the stream refused, each with its reason; must equal the batch intake."""
+    raw = run_sql(spark, sf, OBS_SQL, "events").withColumns({
+        "sector": F.lit("none"), "approved_cost": F.lit(1.0), "schedule_deviation": F.lit(None).cast("double"),
+        "orig_completion_idx": F.lit(None).cast("int"), "rev_completion_idx": F.lit(None).cast("int")})
+    out, known = fresh_path(spark, "rejects"), registry(spark, sf)
+    _drained(_staged(raw, "arrivals"), lambda df, i: S.featurise(df, i, out, known))
+    return spark.read.parquet(f"{out}/rejects").select("arrival_seq", "project_id", "reporting_month", "reject_reason")

@@ -13,6 +13,7 @@ from tidewatch.plans import checks as C
 from tidewatch.plans.feature_queries import features
 from tidewatch.plans.panel import panel, run_sql, table
 from tidewatch.plans.registry import query
+from tidewatch.session import stored
 
 CUTOFF = "2001-06"
 
@@ -22,7 +23,8 @@ def snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_scored(spark, sf):
-    return P.score_snapshot(snapshot(spark, sf))
+    """The scored snapshot, written once: one small row per entity, read by everything below."""
+    return stored(P.score_snapshot(snapshot(spark, sf)), "snapshot")
 
 
 def genuine(spark, sf):
@@ -58,19 +60,19 @@ def _(spark, sf):
 
 
 @query("active_and_historical", C.check(
-    f"select reporting_month >= '{CUTOFF}' as is_active, count(*) as projects, {C.half_even('sum(baseline_cost)', 2)} as exposure from gen group by 1", "gen"))
+    f"select reporting_month >= '{CUTOFF}' as is_active, count(*) as projects, {C.half_even(C.paise_sum('baseline_cost'), 2)} as exposure from gen group by 1", "gen"))
 def _(spark, sf):
     df = genuine(spark, sf)
     both = P.active(df, CUTOFF).withColumn("is_active", F.lit(True)).unionByName(
         P.historical(df, CUTOFF).withColumn("is_active", F.lit(False)))
     return both.groupBy("is_active").agg(
-        F.count("*").alias("projects"), P.half_even(F.sum("baseline_cost"), 2).alias("exposure"))
+        F.count("*").alias("projects"), P.half_even(P.exact_sum(F.col("baseline_cost"), 2), 2).alias("exposure"))
 
 
 _N = lambda t: f"count(*) filter (risk_tier='{t}')"
-_SUMMARY = f"""select count(*) as active_project_count, {C.half_even('coalesce(sum(baseline_cost),0)', 2)} as active_baseline_exposure,
- {C.half_even("coalesce(sum(baseline_cost) filter (risk_tier='ESCALATE'),0)", 2)} as exposure_in_escalate,
- {C.half_even('coalesce(sum(risk_weighted_exposure),0)', 2)} as risk_weighted_exposure,
+_SUMMARY = f"""select count(*) as active_project_count, {C.half_even('coalesce(' + C.paise_sum('baseline_cost') + ',0)', 2)} as active_baseline_exposure,
+ {C.half_even("coalesce(" + C.paise_sum("baseline_cost", "filter (risk_tier='ESCALATE')") + ",0)", 2)} as exposure_in_escalate,
+ {C.half_even('coalesce(' + C.paise_sum('risk_weighted_exposure') + ',0)', 2)} as risk_weighted_exposure,
  {_N('NORMAL')} as normal_count, {_N('WATCH')} as watch_count, {_N('REVIEW')} as review_count, {_N('ESCALATE')} as escalate_count from act"""
 
 
@@ -87,7 +89,7 @@ def _(spark, sf):
 
 @query("sector_breakdown", C.check(f"""
 select sector_display as sector, count(*) as total_projects, {_N('ESCALATE')} as escalate_count, {_N('REVIEW')} as review_count,
- {_N('WATCH')} as watch_count, {C.half_even('sum(baseline_cost)', 2)} as total_exposure from act group by 1""", "act"))
+ {_N('WATCH')} as watch_count, {C.half_even(C.paise_sum('baseline_cost'), 2)} as total_exposure from act group by 1""", "act"))
 def _(spark, sf):
     return P.sector_breakdown(active(spark, sf))
 
@@ -174,7 +176,7 @@ def _(spark, sf):
 
 
 @query("tier_profile", C.check(f"""
-select t as risk_tier, count(project_id) as projects, coalesce({C.half_even('avg(latest_risk)', 6)},0) as mean_prob,
+select t as risk_tier, count(project_id) as projects, coalesce({C.half_even(C.mean_risk(), 6)},0) as mean_prob,
  coalesce({C.half_even('median(latest_risk)', 6)},0) as median_prob, {C.half_even('count(project_id)/(select count(*) from snap)*100.0::double', 4)} as pct
 from unnest(['NORMAL','WATCH','REVIEW','ESCALATE']) as g(t) left join snap on risk_tier=t group by 1""", "snap"))
 def _(spark, sf):
@@ -185,7 +187,7 @@ _AGE = ("case when project_age_months>-1 and project_age_months<=12 then '< 1 yr
         "when project_age_months>36 and project_age_months<=60 then '3-5 yrs' when project_age_months>60 and project_age_months<=120 then '5-10 yrs' "
         "when project_age_months>120 and project_age_months<=1000 then '> 10 yrs' end")
 _SHARE = " union all ".join(
-    f"select '{k}' as dimension, {e} as value, count(*) as total, {_N('ESCALATE')} as escalate, {C.half_even('avg(latest_risk)', 6)} as mean_prob, "
+    f"select '{k}' as dimension, {e} as value, count(*) as total, {_N('ESCALATE')} as escalate, {C.half_even(C.mean_risk(), 6)} as mean_prob, "
     f"{C.half_even(f'100.0::double*{_N(chr(69)+"SCALATE")}/count(*)', 4)} as escalate_pct from snap group by 2"
     for k, e in (("sector", "sector_display"), ("month", "reporting_month"), ("age", _AGE), ("scale", "scale_bucket")))
 
@@ -196,7 +198,7 @@ def _(spark, sf):
 
 
 _DRV = " union all ".join(
-    f"select '{c}' as driver, {C.half_even('avg(v)', 6)} as mean, {C.half_even(f'avg(case when v{t} then 1.0::double else 0.0::double end)*100.0::double', 4)} as pct_beyond, "
+    f"select '{c}' as driver, {C.half_even('cast(sum(cast(round_even(v*1000000.0::double,0) as bigint)) as double)/cast(count(*) as double)/1000000.0::double', 6)} as mean, {C.half_even(f'cast(count(*) filter (v{t}) as double)/cast(count(*) as double)*100.0::double', 4)} as pct_beyond, "
     f"{C.half_even('median(v)', 6)} as median from (select coalesce(cast({c} as double),{d}::double) as v from snap)"
     for c, d, t in (("schedule_deviation_months", 0.0, ">=12"), ("cost_revision_ratio", 1.0, ">1"), ("financial_progress", 0.0, ">0"),
                     ("V_fin_1m", 0.0, "<=0"), ("trajectory_risk_score", 0.0, ">=40")))
@@ -208,8 +210,8 @@ def _(spark, sf):
 
 
 @query("active_window_sensitivity", C.check(f"""
-select c as cutoff, count(*) as projects, {C.half_even('sum(baseline_cost)', 2)} as exposure, {C.half_even('sum(risk_weighted_exposure)', 2)} as risk_weighted_exposure,
- {C.half_even('avg(latest_risk)', 6)} as mean_risk, {C.half_even('median(latest_risk)', 6)} as median_risk,
+select c as cutoff, count(*) as projects, {C.half_even(C.paise_sum('baseline_cost'), 2)} as exposure, {C.half_even(C.paise_sum('risk_weighted_exposure'), 2)} as risk_weighted_exposure,
+ {C.half_even(C.mean_risk(), 6)} as mean_risk, {C.half_even('median(latest_risk)', 6)} as median_risk,
  {_N('NORMAL')} as normal_count, {_N('WATCH')} as watch_count, {_N('REVIEW')} as review_count, {_N('ESCALATE')} as escalate_count
 from gen, unnest(['2001-06','2001-09','2001-11']) as g(c) where reporting_month>=c group by 1""", "gen"))
 def _(spark, sf):
@@ -289,7 +291,7 @@ with c as (select m.*, p_retailprice as baseline_cost, case when p_size%5=0 then
    p_partkey = case when starts_with(project_id,'1') then cast(project_id as bigint)-100000000 else cast(regexp_extract(project_id,'[0-9]+',0) as bigint) end),
 s as (select '1_all' as step, * from c union all select '2_no_macro', * from c where reason='GENUINE' union all select '3_genuine', * from c where {_GEN}
   union all select '4_active', * from c where {_GEN} and reporting_month>='{CUTOFF}')
-select step, count(*) as projects, {C.half_even('sum(baseline_cost)', 2)} as exposure, {_N('ESCALATE')} as escalate_count from s group by 1""", "mac"))
+select step, count(*) as projects, {C.half_even(C.paise_sum('baseline_cost'), 2)} as exposure, {_N('ESCALATE')} as escalate_count from s group by 1""", "mac"))
 def _(spark, sf):
     key = F.regexp_extract("project_id", "[0-9]+", 0).cast("long")
     ents = entities(spark, sf).withColumn("p_partkey", F.when(F.col("project_id").startswith("1"), key - 100000000).otherwise(key))

@@ -428,13 +428,13 @@ def _(spark, sf):
     f, t = F.col("filename"), F.col("text")
     return run_sql(spark, sf, DOC_SQL, "orders").select(
         "o_orderkey", "filename", Doc.detect_reporting_month(f, t).alias("month"), Doc.inspection_period(f, t).alias("inspection_period"),
-        Doc.classify_document(f, F.col("page_count")).alias("family"))
+        Doc.classify_document(f, F.col("page_count"), 25).alias("family"))
 
 
 @query("document_inspection", C.check(f"""
 with pg as (select source_pdf as filename, source_page as page, code_cell||' '||name_cell as text from cells),
 cd as (select distinct filename, unnest(regexp_extract_all(text,{lit(T.PROJECT_CODE)})) as code from pg)
-select filename, count(distinct page) as pages, sum(case when page<=5 then length(trim(text)) else 0 end)>100 as is_text,
+select filename, count(distinct page) as pages, sum(length(trim(text)))>100 as is_text,
  coalesce((select count(*) from cd where cd.filename=pg.filename),0) as codes_found, (select min(code) from cd where cd.filename=pg.filename) as first_code
 from pg group by 1""", "cells"))
 def _(spark, sf):
@@ -447,7 +447,7 @@ def _(spark, sf):
     f"select count(*) as processed, count(*) filter (s in ('SUCCESS','SYNOPSIS_NO_PROJECT_TABLES')) as successful, count(*) filter (s not in ('SUCCESS','SYNOPSIS_NO_PROJECT_TABLES')) as failed "
     f"from (select case when {_CLS}='SYNOPSIS' then 'SYNOPSIS_NO_PROJECT_TABLES' when o_orderkey%7=0 then 'NO_PROJECTS_FOUND' else 'SUCCESS' end as s from (select *, lower(filename) as l from docs))", "docs"))
 def _(spark, sf):
-    fam = Doc.classify_document(F.col("filename"), F.col("page_count"))
+    fam = Doc.classify_document(F.col("filename"), F.col("page_count"), 25)
     log = run_sql(spark, sf, DOC_SQL, "orders").select(
         F.when(fam == "SYNOPSIS", "SYNOPSIS_NO_PROJECT_TABLES").when(F.col("o_orderkey") % 7 == 0, "NO_PROJECTS_FOUND")
         .otherwise("SUCCESS").alias("extraction_status"))

@@ -57,18 +57,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write to a fresh table in the shared folder and read it back.
+
+    What several results read is computed once; the table survives the loss of
+    any executor, has a known size and holds no executor memory.
+    """
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_known_size(df: DataFrame) -> DataFrame:
-    """Persist a derived dimension so Catalyst plans its join from the real size.
+    """Store a derived dimension so Catalyst plans its join from the real size.
 
     An aggregate has no useful size estimate before it runs, so a join against
     it would either be forced to broadcast blindly or shuffle the fact table.
-    Once cached and counted, the relation reports its true bytes: below
+    Once written, the relation reports its true bytes: below
     ``spark.sql.autoBroadcastJoinThreshold`` the join broadcasts, above it the
-    join shuffles and adaptive execution splits hot keys. The blocks are
-    rebuilt from lineage when an executor is lost.
+    join shuffles and adaptive execution splits hot keys.
 
     Runs one job.
     """
-    cached = df.persist()
-    cached.count()
-    return cached
+    return stored(df, "dimension")

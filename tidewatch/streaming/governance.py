@@ -18,7 +18,7 @@ from tidewatch.operators.policies import risk_tier
 
 STATE_DDL = (
     "struct<active:boolean,warning_id:string,warning_month:string,warning_status:string,w_risk:double,"
-    "w_velocity:double,w_deviation:double,w_score:double,cycles:int,responded:boolean,project_status:string>")
+    "w_velocity:double,w_deviation:double,w_score:double,cycles:int,responded:boolean,project_status:string,last_month:string>")
 OUT_DDL = (
     "struct<kind:string,arrival_seq:bigint,reporting_month:string,risk:double,outcome:string,action:string,"
     "recovery_status:string,warning_id:string,warning_status:string,project_status:string,cycles:int,"
@@ -27,9 +27,13 @@ OUT_DDL = (
 ISSUED, RECOVERED, PERSISTENT, ESCALATED = "ISSUED", "RECOVERED", "PERSISTENT_DETERIORATION", "ESCALATED"
 
 
+#: Observations that intake should have refused; they change no state.
+REFUSED = ("DUPLICATE_MONTH", "CHRONOLOGY_VIOLATION")
+
+
 def stable_id(prefix: str, *parts: Column) -> Column:
     """Same input, same id: replays never mint a second record."""
-    return F.concat(F.lit(prefix + "-"), F.upper(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12)))
+    return F.concat(F.lit(prefix + "-"), F.upper(F.sha2(F.concat_ws("|", *parts), 256)))
 
 
 def observation_outcome(s: Column, x: Column) -> Column:
@@ -41,7 +45,9 @@ def observation_outcome(s: Column, x: Column) -> Column:
     calm = ~is_true(x["risk"] >= ESCALATE)
     cycles = s["cycles"] + F.when(calm, 0).otherwise(1)
     return (
-        F.when(~s["active"] & calm, F.lit("NONE"))
+        F.when(x["reporting_month"] == s["last_month"], F.lit("DUPLICATE_MONTH"))
+        .when(x["reporting_month"] < s["last_month"], F.lit("CHRONOLOGY_VIOLATION"))
+        .when(~s["active"] & calm, F.lit("NONE"))
         .when(~s["active"], F.lit(ISSUED))
         .when(calm & blind, F.lit("INSUFFICIENT_EVIDENCE"))
         .when(calm & improved, F.lit(RECOVERED))
@@ -61,7 +67,8 @@ def response_outcome(s: Column, x: Column) -> Column:
 
 def next_state(s: Column, x: Column, o: Column) -> Column:
     fresh = o == ISSUED
-    counted = (x["kind"] == "OBSERVE") & is_true(x["risk"] >= ESCALATE)
+    taken = (x["kind"] == "OBSERVE") & ~o.isin(*REFUSED)
+    counted = taken & is_true(x["risk"] >= ESCALATE)
     keep = lambda name, new: F.when(fresh, new).otherwise(s[name]).alias(name)
     status = (
         F.when(o.isin(ISSUED, RECOVERED, PERSISTENT, ESCALATED), o)
@@ -77,6 +84,7 @@ def next_state(s: Column, x: Column, o: Column) -> Column:
         F.when(fresh, F.lit(1)).otherwise(s["cycles"] + F.when(s["active"] & counted, 1).otherwise(0)).alias("cycles"),
         F.when(fresh, F.lit(False)).otherwise(s["responded"] | (o == "RESPONSE_ACCEPTED")).alias("responded"),
         project.alias("project_status"),
+        F.when(taken, x["reporting_month"]).otherwise(s["last_month"]).alias("last_month"),
     ).cast(STATE_DDL)
 
 
@@ -104,7 +112,7 @@ def initial_state() -> Column:
     none = lambda t: F.lit(None).cast(t)
     return F.struct(
         F.lit(False), none("string"), none("string"), none("string"), none("double"), none("double"),
-        none("double"), none("double"), F.lit(0), F.lit(False), F.lit("ACTIVE"),
+        none("double"), none("double"), F.lit(0), F.lit(False), F.lit("ACTIVE"), none("string"),
     ).cast(STATE_DDL)
 
 
@@ -137,12 +145,23 @@ def run_governance(events: DataFrame) -> DataFrame:
     responses; repeated identical responses should be reduced beforehand with
     :func:`first_responses`.
     """
-    ready = prepare(events)
-    packed = ready.groupBy("project_id").agg(
+    return folded(events).select("project_id", F.inline("out"))
+
+
+def folded(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(project_id, state, out): each entity's last state and the outcome of its events.
+
+    ``before`` (project_id, state) holds the states to go on from; batch and
+    stream share this one set of rules.
+    """
+    packed = prepare(events).groupBy("project_id").agg(
         F.array_sort(F.collect_list(F.struct(*FIELDS, "own_warning_id"))).alias("events"))
-    start = F.struct(initial_state().alias("state"), F.array().cast(f"array<{OUT_DDL}>").alias("out"))
-    folded = F.aggregate("events", start, _step, lambda acc: acc["out"])
-    return packed.select("project_id", F.inline(folded))
+    first = initial_state()
+    if before is not None:
+        packed = packed.join(before.select("project_id", F.col("state").alias("_state")), "project_id", "left")
+        first = F.coalesce("_state", first)
+    start = F.struct(first.alias("state"), F.array().cast(f"array<{OUT_DDL}>").alias("out"))
+    return packed.withColumn("fold", F.aggregate("events", start, _step)).select("project_id", "fold.state", "fold.out")
 
 
 def first_responses(responses: DataFrame) -> DataFrame:

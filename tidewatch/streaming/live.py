@@ -1,236 +1,169 @@
-"""Structured Streaming: incremental features and live governance.
-
-Two queries, one state each: observations -> features, and scored events ->
-outcomes. State per entity has a fixed size, so a trigger costs its own rows,
-not the history. Limit the input per trigger (``maxFilesPerTrigger``) to bound
-what one busy entity brings into a task. Months must advance strictly; nothing
-is re-ordered, a watermark may only be used to expire state.
+"""Structured Streaming: incremental features, rejects and live governance.
+
+Each trigger is handled by the batch expressions themselves: the new rows are
+joined with the stored state of their entities, windowed or folded in the JVM,
+and the outcome and the next state are written under the batch's id. A batch
+that is retried reads the state of the batch before it and overwrites its own
+folders, so it leaves one copy. The state of an entity is bounded by the
+calendar: its accepted months, the last four rows, and running values. Limit
+the input per trigger (``maxFilesPerTrigger``) to bound a trigger's work.
+
+Nothing is re-ordered and no row disappears: whatever is not accepted is
+written to the rejects with its reason. State does not expire; an entity that
+is reset is removed with ``governance.without_project``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
-
-from tidewatch.config import ESCALATE, KineticsConfig
-from tidewatch.operators.kinetics import component_scores, point_state, risk_score
-from tidewatch.operators.timeline import with_month_index
-from tidewatch.streaming.governance import prepare
-from tidewatch.streaming.intake import observation_reason
-
-TRACKS = {"fin": "financial_progress", "exp": "expenditure_clean", "phys": "physical_progress_clean"}
+from pyspark.sql import types as T
+
+from tidewatch.config import KineticsConfig
+from tidewatch.operators.kinetics import component_scores, decayed_fold, motion, point_state, risk_score
+from tidewatch.operators.policies import with_heuristic_score
+from tidewatch.operators.timeline import history, with_month_index
+from tidewatch.streaming import governance as G
+from tidewatch.streaming.intake import accept_in_order, check_observations, observation_reason
+
+OUT_SCHEMA = "project_id string, " + G.OUT_DDL[len("struct<"):-1].replace(":", " ").replace(",", ", ")
+#: Rows that lags of the batch windows reach back over.
+TAIL = 4
 CARRIED = [
     "project_id", "reporting_month", "month_idx", "arrival_seq", "financial_progress", "expenditure_clean",
     "physical_progress_clean", "schedule_deviation_months", "completion_idx", "C_base", "cost_revision_ratio",
     "expenditure_to_baseline", "financial_physical_gap", "sector_clean", "scale_bucket",
 ]
-MOTION_OUT = [f"{v}_{k}{s}" for k in TRACKS for v, s in (("V", "_1m"), ("V", "_3m"), ("A", ""))]
-MOTION_STATE = (
-    "n int, month int, fin array<double>, exp array<double>, phys array<double>, deviation double, completion double, "
-    "v_fin double, v_exp double, v_phys double, mean double, weight double")
-
-
-def _num(x) -> float | None:
-    return None if x is None or pd.isna(x) else float(x)
-
-
-def _minus(a, b) -> float | None:
-    return None if a is None or b is None else a - b
-
-
-def _motion_step(row, st: dict, alpha: float) -> dict:
-    """Advance one entity by one accepted row."""
-    out: dict = {"observation_number": st["n"] + 1,
-                 "months_since_previous_observation": None if st["month"] is None else float(row.month_idx - st["month"])}
-    for k, col in TRACKS.items():
-        x, past = _num(getattr(row, col)), st[k]
-        v = _minus(x, past[-1]) if past else None
-        out[f"V_{k}_1m"] = v
-        out[f"V_{k}_3m"] = _minus(x, past[-3]) if len(past) >= 3 else None
-        out[f"A_{k}"] = _minus(v, st[f"v_{k}"])
-        st[k], st[f"v_{k}"] = (past + [x])[-3:], v
-    dev, comp = _num(row.schedule_deviation_months), _num(row.completion_idx)
-    out["schedule_deviation_change"] = _minus(dev, st["deviation"])
-    out["completion_date_drift"] = _minus(comp, st["completion"])
-    v, mean = out["V_fin_1m"], st["mean"]
-    if v is None:
-        if mean is not None:
-            st["weight"] *= 1.0 - alpha
-    else:
-        aged = st["weight"] * (1.0 - alpha)
-        st["mean"] = v if mean is None or mean == v else (aged * mean + alpha * v) / (aged + alpha)
-        st["weight"] = 1.0
-    out["EWMA_V_fin"] = st["mean"]
-    st.update(n=st["n"] + 1, month=int(row.month_idx), deviation=dev, completion=comp)
-    return out
-
-
-def _tuple(values) -> tuple:
-    return tuple(values)
-
-
-def feature_stream(observations: DataFrame, cfg: KineticsConfig = KineticsConfig()) -> DataFrame:
-    """Point-in-time features of each accepted observation as it arrives.
-
-    Row-level expressions and scores are the batch ones; only lags and the
-    exponential mean live in state. There are no peers here, so the z-score is
-    0. Rows whose month does not advance are dropped from this output (the
-    intake reports them).
-    """
-    alpha = cfg.ewma_alpha
-    names = [x.split()[0] for x in MOTION_STATE.split(", ")]
-
-    def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        st = dict(zip(names, state.get)) if state.exists else {
-            **{k: None for k in names}, "n": 0, "fin": [], "exp": [], "phys": [], "weight": 1.0}
-        for k in TRACKS:
-            st[k] = [_num(x) for x in st[k]]
-        for k in names:
-            if k not in TRACKS:
-                st[k] = None if st[k] is None or pd.isna(st[k]) else st[k]
-        batch = pd.concat(list(frames)).sort_values("arrival_seq", kind="stable")
-        kept, rows = [], []
-        for i, row in enumerate(batch.itertuples(index=False)):
-            if st["month"] is not None and row.month_idx <= st["month"]:
-                continue
-            rows.append(_motion_step(row, st, alpha))
-            kept.append(i)
-        state.update(_tuple(st[k] for k in names))
-        if kept:
-            yield pd.concat([batch.iloc[kept].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
-
-    ready = point_state(with_month_index(observations.where(observation_reason().isNull())), cfg).select(*CARRIED)
-    doubles = [*MOTION_OUT, "schedule_deviation_change", "completion_date_drift", "EWMA_V_fin", "months_since_previous_observation"]
-    types = dict(ready.dtypes)
-    schema = ", ".join([*(f"{c} {types[c]}" for c in CARRIED), "observation_number int", *(f"{c} double" for c in doubles)])
-    order = [*CARRIED, "observation_number", *doubles]
-
-    def shaped(key, frames, state):
-        for out in advance(key, frames, state):
-            yield out[order]
-
-    moved = ready.groupBy("project_id").applyInPandasWithState(shaped, schema, MOTION_STATE, "append", "NoTimeout")
-    return (
-        moved.withColumns({
-            "Z_peer_V_fin": F.lit(0.0),
-            "reporting_gap_flag": F.when(F.col("months_since_previous_observation") > 1, 1).otherwise(0)})
-        .withColumns(component_scores()).withColumn("trajectory_risk_score", risk_score(cfg)))
-
-
-GOV_STATE = (
-    "active boolean, warning_id string, warning_month string, warning_status string, w_risk double, w_velocity double, "
-    "w_deviation double, w_score double, cycles int, responded boolean, project_status string, last_month string")
-GOV_NAMES = [x.split()[0] for x in GOV_STATE.split(", ")]
-OUT_SCHEMA = (
-    "project_id string, kind string, arrival_seq long, reporting_month string, risk double, outcome string, action string, "
-    "recovery_status string, warning_id string, warning_status string, project_status string, cycles int, "
-    "required_cycles int, response_status string, w_risk double")
-ACTIONS = {"ISSUED": "CONTRACTOR_WARNING_ISSUED", "RECOVERED": "PROJECT_RECOVERED", "ESCALATED": "AUTHORITY_ESCALATION_ISSUED"}
-
-
-def _observed(st: dict, e: dict) -> str:
-    p, v, d, s = e["risk"], e["velocity"], e["deviation"], e["score"]
-    high = p is not None and p >= ESCALATE
-    if not st["active"]:
-        if not high:
-            return "NONE"
-        st.update(active=True, warning_id=e["own_warning_id"], warning_month=e["reporting_month"], w_risk=p, w_velocity=v,
-                  w_deviation=d, w_score=s, cycles=1, responded=False, warning_status="ISSUED", project_status="WARNING_ISSUED")
-        return "ISSUED"
-    st["cycles"] += int(high)
-    better = (
-        (v is not None and v > 0 and (st["w_velocity"] is None or v > st["w_velocity"]))
-        or (d is not None and st["w_deviation"] is not None and d <= st["w_deviation"])
-        or (s is not None and st["w_score"] is not None and s < st["w_score"]))
-    if not high and v is None and d is None and s is None:
-        return "INSUFFICIENT_EVIDENCE"
-    if not high and better:
-        st.update(active=False, warning_status="RECOVERED", project_status="RECOVERED")
-        return "RECOVERED"
-    if st["cycles"] >= e["persistence_cycles"]:
-        st.update(active=False, warning_status="ESCALATED", project_status="ESCALATED")
-        return "ESCALATED"
-    st["warning_status"] = "PERSISTENT_DETERIORATION"
-    return "PERSISTENT_DETERIORATION"
-
-
-def _responded(st: dict, e: dict) -> str:
-    fits = (
-        st["active"] and not st["responded"] and e["warning_id"] in (None, st["warning_id"]) and e["acknowledged"]
-        and (e["response_text"] or "").strip() and (e["corrective_action"] or "").strip())
-    if not fits:
-        return "RESPONSE_REJECTED"
-    st.update(responded=True, warning_status="RESPONSE_SUBMITTED", project_status="UNDER_RECOVERY")
-    return "RESPONSE_ACCEPTED"
-
-
-def _advance_governance(st: dict, e: dict) -> dict:
-    was_active, had_response = st["active"], st["responded"]
-    if e["kind"] != "OBSERVE":
-        outcome = _responded(st, e)
-    elif st["last_month"] is not None and e["reporting_month"] <= st["last_month"]:
-        outcome = "DUPLICATE_MONTH" if e["reporting_month"] == st["last_month"] else "CHRONOLOGY_VIOLATION"
-    else:
-        outcome = _observed(st, e)
-        st["last_month"] = e["reporting_month"]
-    shown = was_active or st["active"]
-    recovery = {"PERSISTENT_DETERIORATION": "PERSISTENT_DETERIORATION", "ESCALATED": "PERSISTENT_DETERIORATION",
-                "RECOVERED": "RECOVERED", "INSUFFICIENT_EVIDENCE": "INSUFFICIENT_EVIDENCE"}.get(outcome)
-    pick = lambda k: st[k] if shown else None
-    return {
-        "project_id": e["project_id"], "kind": e["kind"], "arrival_seq": e["arrival_seq"], "reporting_month": e["reporting_month"],
-        "risk": e["risk"], "outcome": outcome, "action": ACTIONS.get(outcome, "NONE"), "recovery_status": recovery,
-        "warning_id": pick("warning_id"), "warning_status": pick("warning_status"), "project_status": st["project_status"],
-        "cycles": pick("cycles"), "required_cycles": e["persistence_cycles"],
-        "response_status": ("RESPONSE_SUBMITTED" if had_response else "UNRESPONSIVE") if outcome == "ESCALATED" else None,
-        "w_risk": pick("w_risk")}
-
-
-def _clean(d: dict) -> dict:
-    return {k: None if v is None or (isinstance(v, float) and pd.isna(v)) or v is pd.NA else v for k, v in d.items()}
-
-
-def governance_stream(events: DataFrame) -> DataFrame:
-    """Outcomes of a live event stream; same columns as the batch fold."""
-    columns = [x.split()[0] for x in OUT_SCHEMA.split(", ")]
-    fresh = {**{k: None for k in GOV_NAMES}, "active": False, "cycles": 0, "responded": False, "project_status": "ACTIVE"}
-
-    def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        st = _clean(dict(zip(GOV_NAMES, state.get))) if state.exists else dict(fresh)
-        batch = pd.concat(list(frames)).sort_values("arrival_seq", kind="stable")
-        rows = [_advance_governance(st, _clean(e)) for e in batch.to_dict("records")]
-        state.update(_tuple(st[k] for k in GOV_NAMES))
-        out = pd.DataFrame(rows, columns=columns)
-        for c in ("cycles", "required_cycles"):
-            out[c] = out[c].astype("Int32")
-        yield out
-
-    return prepare(events).groupBy("project_id").applyInPandasWithState(
-        advance, OUT_SCHEMA, GOV_STATE, "append", "NoTimeout")
-
-
-def append_ledger(path: str):
-    """``foreachBatch`` writer of an append-only table.
-
-    Each batch owns one folder and overwrites it, so a batch that is retried
-    after a failure leaves exactly one copy.
+
+
+def _slot(path: str, batch_id: int) -> str:
+    return f"{path}/batch_id={batch_id}"
+
+
+def _previous(batch: DataFrame, path: str, batch_id: int, schema: str) -> DataFrame:
+    """State left by the batch before; empty for the first."""
+    spark = batch.sparkSession
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(_slot(path, batch_id - 1))
+
+
+def _put(df: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Write a batch's rows, whatever an earlier attempt left there, and read them back."""
+    df.write.mode("overwrite").parquet(_slot(path, batch_id))
+    return df.sparkSession.read.schema(df.schema).parquet(_slot(path, batch_id))
+
+
+def _carry_on(before: DataFrame, changed: DataFrame) -> DataFrame:
+    return changed.unionByName(before.join(changed.select("project_id"), "project_id", "left_anti"))
+
+
+# ---- governance ----------------------------------------------------------
+
+GOV_SCHEMA = f"project_id string, state {G.STATE_DDL}"
+
+
+def govern(events: DataFrame, batch_id: int, out: str) -> DataFrame:
+    """Fold one batch of events into the stored states; returns its outcomes.
+
+    Writes ``outcomes``, ``ledger`` and ``governance_state`` under ``out``.
     """
+    before = _previous(events, f"{out}/governance_state", batch_id, GOV_SCHEMA)
+    step = _put(G.folded(events, before), f"{out}/governance_step", batch_id)
+    outcomes = _put(step.select("project_id", F.inline("out")), f"{out}/outcomes", batch_id)
+    _put(G.audit_ledger(outcomes), f"{out}/ledger", batch_id)
+    _put(_carry_on(before, step.select("project_id", "state")), f"{out}/governance_state", batch_id)
+    return outcomes
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return write
+# ---- features ------------------------------------------------------------
 
+def _feature_state(carried: T.StructType) -> str:
+    return (f"project_id string, months array<string>, n int, mean double, weight double, "
+            f"tail array<{carried.simpleString()}>")
+
+
+def _checked(batch: DataFrame, before: DataFrame, registry: DataFrame | None) -> DataFrame:
+    """Reasons by field, by registry, by the months accepted so far, then by arrival within the batch."""
+    df = batch.withColumn("reject_reason", observation_reason()) if registry is None else check_observations(batch, registry)
+    month, months = F.col("reporting_month"), F.col("_months")
+    df = df.join(before.select("project_id", F.col("months").alias("_months")), "project_id", "left").withColumn(
+        "reject_reason", F.coalesce("reject_reason", F.when(F.array_contains(months, month), F.lit("DUPLICATE_MONTH")).when(
+            month <= F.array_max(months), F.lit("CHRONOLOGY_VIOLATION")))).drop("_months")
+    return accept_in_order(df)
 
-def drain(stream: DataFrame, out_path: str, checkpoint: str) -> None:
-    """Process everything available and stop."""
-    q = (
-        stream.writeStream.foreachBatch(append_ledger(out_path)).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
 
+def featurise(
+    batch: DataFrame, batch_id: int, out: str, registry: DataFrame | None = None, cfg: KineticsConfig = KineticsConfig(),
+) -> DataFrame:
+    """Accept, reject and featurise one batch; returns its features.
 
+    Row-level expressions, lags, the exponential mean and the scores are the
+    batch ones, run over the stored tail and the new rows. There are no peers
+    here, so the z-score is 0. Writes ``features``, ``rejects`` and
+    ``feature_state`` under ``out``.
+    """
+    months = with_month_index(batch.limit(0))
+    carried = point_state(months, cfg).select(*CARRIED[1:]).schema
+    before = _previous(batch, f"{out}/feature_state", batch_id, _feature_state(carried))
+    checked = _put(_checked(batch, before, registry), f"{out}/checked", batch_id)
+    _put(checked.where("reject_reason is not null"), f"{out}/rejects", batch_id)
+    fresh = point_state(with_month_index(checked.where("reject_reason is null")), cfg).select(*CARRIED, F.lit(True).alias("fresh"))
+    old = before.join(fresh.select("project_id").distinct(), "project_id").select(
+        "project_id", F.inline("tail"), F.lit(False).alias("fresh"))
+    moved = motion(old.unionByName(fresh)).withColumn(
+        "months_since_previous_observation", (F.col("month_idx") - F.lag("month_idx").over(history())).cast("double"))
+    packed = moved.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(
+        "month_idx", *[c for c in moved.columns if c not in ("project_id", "month_idx")]))).alias("rows"))
+    known = packed.join(before.withColumnsRenamed({"tail": "_tail"}), "project_id", "left").withColumns({
+        "n": F.coalesce("n", F.lit(0)), "weight": F.coalesce("weight", F.lit(1.0)),
+        "rows": F.filter("rows", lambda r: r["fresh"]),
+        "last": F.slice(F.reverse("rows"), 1, TAIL)})
+    fold = known.withColumn("fold", decayed_fold(F.col("rows.V_fin_1m"), cfg.ewma_alpha, F.col("mean"), F.col("weight")))
+    tail = F.transform(F.reverse("last"), lambda r: F.struct(*[r[c].alias(c) for c in CARRIED[1:]]))
+    step = _put(fold.select(
+        "project_id", "rows", F.col("fold.out").alias("means"), F.col("n").alias("seen"),
+        F.concat(F.coalesce("months", F.array().cast("array<string>")), F.col("rows.reporting_month")).alias("months"),
+        (F.col("n") + F.size("rows")).alias("n"), F.col("fold.mean").alias("mean"), F.col("fold.weight").alias("weight"),
+        tail.alias("tail")), f"{out}/feature_step", batch_id)
+    each = step.select("project_id", "means", "seen", F.posexplode("rows").alias("at", "row"))
+    features = each.select("project_id", "row.*", F.get("means", F.col("at")).alias("EWMA_V_fin"),
+                           (F.col("seen") + F.col("at") + 1).alias("observation_number")).drop("fresh").withColumns({
+        "Z_peer_V_fin": F.lit(0.0),
+        "reporting_gap_flag": F.when(F.col("months_since_previous_observation") > 1, 1).otherwise(0)})
+    scored = features.withColumns(component_scores()).withColumn("trajectory_risk_score", risk_score(cfg))
+    got = _put(scored, f"{out}/features", batch_id)
+    _put(_carry_on(before, step.select("project_id", "months", "n", "mean", "weight", "tail")), f"{out}/feature_state", batch_id)
+    return got
+
+
+# ---- running -------------------------------------------------------------
+
+def observed_events(features: DataFrame) -> DataFrame:
+    """Governance events of newly scored rows."""
+    scored = with_heuristic_score(features)
+    none: Callable[[str], Column] = lambda t: F.lit(None).cast(t)
+    return scored.select(
+        F.lit("OBSERVE").alias("kind"), "project_id", F.col("arrival_seq").cast("long").alias("arrival_seq"), "reporting_month",
+        F.col("p").alias("risk"), F.col("V_fin_1m").alias("velocity"), F.col("schedule_deviation_months").alias("deviation"),
+        F.col("trajectory_risk_score").alias("score"), none("int").alias("persistence_cycles"), none("string").alias("warning_id"),
+        none("boolean").alias("acknowledged"), none("string").alias("response_text"), none("string").alias("corrective_action"))
+
+
+def monitoring(out: str, registry: DataFrame | None = None, cfg: KineticsConfig = KineticsConfig()):
+    """The whole path of an observation: intake, features, score, governance, ledger."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        govern(observed_events(featurise(batch, batch_id, out, registry, cfg)), batch_id, out)
+
+    return handle
+
+
+def drain(stream: DataFrame, handle: Callable[[DataFrame, int], object], checkpoint: str) -> None:
+    """Process everything available, batch by batch, and stop."""
+    q = (
+        stream.writeStream.foreachBatch(lambda df, i: (handle(df, i), None)[1]).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start())
+    q.awaitTermination()
