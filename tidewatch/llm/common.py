@@ -9,8 +9,6 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import fresh_path
-
 #: Runs of ASCII white space; words are what stands between them.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -24,17 +22,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to a fresh table in the shared folder and read it back.
-
-    Cuts the lineage where every executor can reread it; the caller's job
-    clean-up owns the folder named by ``spark.checkpoint.dir``.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

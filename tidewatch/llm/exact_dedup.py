@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import SPACES, shuffle_parts, stored, whole_text
+from tidewatch.llm.common import SPACES, shuffle_parts, whole_text
+from tidewatch.session import stored
 
 KEY = ["digest", "n_bytes", "proof"]
 
