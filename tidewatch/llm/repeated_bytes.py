@@ -25,9 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import shuffle_parts, slices, stored
+from tidewatch.llm.common import shuffle_parts, slices
 from tidewatch.llm.suffix_sort import least_owner
-from tidewatch.session import fresh_path
+from tidewatch.session import fresh_path, stored
 
 LAST = 2**63 - 1  # stands for a null id, after all others
 
@@ -182,7 +182,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     every = np.sort(np.concatenate([np.unique(v) for v in values]))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     for (chunk, bucket, _), v in zip(rows, values, strict=True):
-        bits = np.packbits(np.isin(v, twice))
+        at = np.minimum(np.searchsorted(twice, v), max(0, len(twice) - 1))
+        bits = np.packbits(twice[at] == v if len(twice) else np.zeros(len(v), bool))
         if bits.any():
             yield pa.RecordBatch.from_pylist([{"chunk": chunk, "bucket": bucket, "bits": bits.tobytes()}], schema=REPLY)
 
