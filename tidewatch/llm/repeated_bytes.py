@@ -92,11 +92,15 @@ class Chunk:
         self.doc = np.searchsorted(self.ends, self.start, side="right")
         self.owner = np.array([LAST if i is None else i for i in self.ids], np.int64)
         # distinct anchors of the chunk, and which of them two documents share already
-        order = np.lexsort((self.doc, self.value))
+        order = np.argsort(self.value, kind="stable")
         v, d = self.value[order], self.doc[order]
-        self.distinct = v[np.concatenate([[True], v[1:] != v[:-1]])] if n and len(v) else v
-        both = v[1:][(v[1:] == v[:-1]) & (d[1:] != d[:-1])]
-        self.shared_here = np.isin(self.distinct, both)
+        new = np.ones(len(v), bool)
+        new[1:] = v[1:] != v[:-1]
+        self.distinct, rank = v[new], np.cumsum(new) - 1
+        self.rank = np.empty(len(v), np.int64)
+        self.rank[order] = rank
+        self.shared_here = np.zeros(len(self.distinct), bool)
+        self.shared_here[rank[1:][~new[1:] & (d[1:] != d[:-1])]] = True
         self.bucket = (self.distinct >> np.uint64(40)).astype(np.int64) % parts
 
     def flag(self, bits: list[dict]) -> None:
@@ -105,7 +109,7 @@ class Chunk:
         for r in bits:
             at = np.flatnonzero(self.bucket == r["bucket"])
             shared[at] |= np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(at)).astype(bool)
-        hit = np.flatnonzero(shared[np.searchsorted(self.distinct, self.value)])
+        hit = np.flatnonzero(shared[self.rank])
         self.hit = hit
         # equal stretches travel once, with the least document of the chunk
         names: dict[bytes, int] = {}
@@ -179,7 +183,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = np.zeros((len(raw) // 5, 8), np.uint8)
         v[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
         values.append(v.view("<u8").ravel())
-    every = np.sort(np.concatenate([np.unique(v) for v in values]))
+    every = np.sort(np.concatenate(values))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     for (chunk, bucket, _), v in zip(rows, values, strict=True):
         at = np.minimum(np.searchsorted(twice, v), max(0, len(twice) - 1))
