@@ -12,7 +12,9 @@ only when complete, and a complete one is not written again.
 from __future__ import annotations
 
 import hashlib
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import slices
 from tidewatch.llm.pieces import model_bytes, pretokens, processor
-from tidewatch.session import stored
+from tidewatch.session import fresh_path
 
 SLICE_BYTES = 4 << 20
 #: Pre-tokens remembered per task; the memory is bounded, the result the same.
-KNOWN = 400_000
+KNOWN = 1_000_000
 HEAD = np.dtype([("doc_id", "<i8"), ("seq_no", "<u4"), ("n_tokens", "<u4")])
 WITHOUT_ID = -(2**63)
 
@@ -40,7 +42,7 @@ class OrderConfig:
     shard_rows: records of a shard. key: of the permutation. most_tasks: more
     shards than this are written several to a task, as ranges of slots."""
 
-    seq_len: int = 512
+    seq_len: int = 256
     shard_rows: int = 8192
     key: int = 20240229
     rounds: int = 4
@@ -83,8 +85,8 @@ SEQ_SQL = "doc_id long, part long, no long, seq_no int, ids binary"
 
 def _sequences(batches: Iterator[pa.RecordBatch], proto: bytes, cfg: OrderConfig) -> Iterator[pa.RecordBatch]:
     sp, part, no = processor(proto), TaskContext.get().partitionId(), 0
-    if sp.vocab_size() > 1 << 16:
-        raise ValueError("ids do not fit in two bytes")
+    if sp.vocab_size() > 1 << 16 or sys.byteorder != "little":
+        raise ValueError("ids must fit in two little-endian bytes")
     alone, end = sp.piece_to_id("▁"), np.array([sp.eos_id()], "<u2").tobytes()
     known: dict[str, bytes] = {}
     for piece in slices(batches, "text", SLICE_BYTES):
@@ -93,7 +95,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], proto: bytes, cfg: OrderConfig
             known = {}
         new = list({w for ws in words for w in ws if w not in known})
         for w, ids in zip(new, sp.encode([w[1:] for w in new], num_threads=1), strict=True):
-            known[w] = np.array([alone] if w == " " else ids, "<u2").tobytes()
+            known[w] = array("H", [alone] if w == " " else ids).tobytes()
         rows = []
         width = 2 * cfg.seq_len
         for doc, ws in zip(piece.column("doc_id").to_pylist(), words, strict=True):
@@ -182,7 +184,9 @@ def materialise(docs: DataFrame, path: str, model_path: str, cfg: OrderConfig =
     """
     spark, proto = docs.sparkSession, model_bytes(model_path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = stored(rows.mapInArrow(lambda it: _sequences(it, proto, cfg), SEQ_SQL), "sequences")
+    kept = fresh_path(spark, "sequences")
+    rows.mapInArrow(lambda it: _sequences(it, proto, cfg), SEQ_SQL).write.option("compression", "zstd").parquet(kept)
+    cut = spark.read.schema(SEQ_SQL).parquet(kept)
     # one number per input partition
     parts = cut.groupBy("part").agg((F.max("no") + 1).alias("n")).orderBy("part").collect()
     ends = np.cumsum([r["n"] for r in parts])
