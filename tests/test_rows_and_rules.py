@@ -17,7 +17,9 @@ from tidewatch.operators import portfolio as P
 from tidewatch.operators import replay as R
 from tidewatch.operators.policies import with_heuristic_score
 from tidewatch.operators.timeline import timeline
-from tidewatch.sources.tables import json_safe
+from tidewatch.session import fresh_path
+from tidewatch.sources.reports import with_raw_ids
+from tidewatch.sources.tables import json_safe, manifest, verify_manifest, write_metrics
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +126,29 @@ def test_calibration_keeps_mean_order_and_digits(learned, kind):
     assert out.select(F.corr("p", "raw_prob")).first()[0] > 0.8
 
 
+def test_replay_of_one_entity_equals_its_document(sparse):
+    one = R.replay_one(sparse, "P1").first()
+    assert one == R.replay(sparse).where("project_id = 'P1'").first()
+    with pytest.raises(ValueError, match="unknown project_id"):
+        R.replay_one(sparse, "nobody")
+
+
+def test_metrics_carry_the_manifest_of_their_data(spark):
+    data = spark.range(20).withColumn("x", F.col("id") * 2)
+    path = fresh_path(spark, "metrics")
+    write_metrics(spark.createDataFrame([(0.5,)], "pr_auc double"), data, path, cutoff="2020-01")
+    meta = spark.read.json(path).first()["_metadata"].asDict()
+    assert meta["row_count"] == 20 and meta["cutoff"] == "2020-01"
+    verify_manifest(data.repartition(3), manifest(data).first().asDict())
+    with pytest.raises(ValueError, match="does not match"):
+        verify_manifest(data.where("id > 0"), manifest(data).first().asDict())
+    with pytest.raises(ValueError, match="lacks"):
+        verify_manifest(data, {"row_count": 20})
+
+
+def test_raw_ids_follow_document_order(spark):
+    rows = [(f"d{i % 3}", i % 5, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "source_pdf string, source_page int, row_no int").repartition(4)
+    got = with_raw_ids(df).orderBy("raw_record_id").collect()
+    keys = [(r["source_pdf"], r["source_page"], r["row_no"]) for r in got]
+    assert keys == sorted(keys) and len({r["raw_record_id"] for r in got}) == 60

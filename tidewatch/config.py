@@ -45,7 +45,7 @@ class GbdtConfig:
     row_sample: float = 0.8
     column_sample: float = 0.8
     seed: int = 42
-    tolerance: float = 0.005
+    tolerance: float = 0.0
 
 
 @dataclass(frozen=True)

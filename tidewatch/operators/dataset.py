@@ -109,12 +109,6 @@ def entity_holdout(df: DataFrame, cutoff: str, held: Column | None = None) -> Da
     return df.withColumn("role", role).where("role is not null")
 
 
-def with_seen_flag(roles: DataFrame) -> DataFrame:
-    """Mark entities that also occur in the training part of the fold."""
-    w = Window.partitionBy("project_id", "fold_id")
-    return roles.withColumn("seen_in_train", F.max((F.col("role") == "train").cast("int")).over(w))
-
-
 def split_by_train(roles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Test rows of entities the training part knows, and of the others."""
     keys = ["fold_id", "project_id"]
