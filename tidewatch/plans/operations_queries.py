@@ -39,10 +39,11 @@ _FIRST = "cast(w.reporting_month||'-01' as date)"
 
 @query("entity_warning_list", C.check(f"""
 select warning_id, reporting_month, risk_probability, issued_seq, status, strftime({_FIRST} + interval 15 day, '%Y-%m-%d') as response_deadline
-from wrn w where project_id='{ONE}' order by issued_seq desc""", "wrn"))
+from wrn w where project_id=(select min(project_id) from wrn) order by issued_seq desc""", "wrn"))
 def _(spark, sf):
-    """Warnings of one entity, newest first, each with its response deadline."""
-    rows = G.warnings(kept_outcomes(spark, sf).where(F.col("project_id") == ONE))
+    """Warnings of the first entity that has any, newest first, each with its response deadline."""
+    every = G.warnings(kept_outcomes(spark, sf))
+    rows = every.where(F.col("project_id") == every.agg(F.min("project_id")).scalar())
     dated = G.with_deadline(rows, F.to_date(F.concat("reporting_month", F.lit("-01"))))
     return dated.select(
         "warning_id", "reporting_month", "risk_probability", "issued_seq", "status",
