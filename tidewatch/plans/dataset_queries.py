@@ -50,7 +50,8 @@ select project_id, reporting_month, C_base, trajectory_risk_score, {', '.join(_L
   overrun_composite_12m, distress_type_12m, reporting_month as feature_cutoff_month,
   {C.label('month_idx+6')} as target_horizon_month_6m, {C.label('month_idx+12')} as target_horizon_month_12m from ds""", "ds"))
 def _(spark, sf):
-    df = D.model_dataset(features(spark, sf), G.targets(panel(spark, sf)))
+    # both sides check their months as they run
+    df = D.model_dataset(features(spark, sf), G.targets(panel(spark, sf)), verify=False)
     cols = [*KEYS, "C_base", "trajectory_risk_score", "EWMA_V_fin", "Z_peer_V_fin", "eligible_features", LABEL,
             "distress_type_12m", "feature_cutoff_month", "target_horizon_month_6m", "target_horizon_month_12m"]
     return rounded(df.select(*cols), 6, "EWMA_V_fin", "Z_peer_V_fin")

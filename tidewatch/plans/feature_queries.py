@@ -73,7 +73,9 @@ def _(spark, sf):
     "select project_id, reporting_month, mean as EWMA_V_fin from mo join ew using (project_id, observation_number)",
     "mo", "ew(project_id, observation_number, mean, weight)"))
 def _(spark, sf):
-    return features(spark, sf).select(*KEYS, "EWMA_V_fin")
+    cfg = K.KineticsConfig()
+    moved = K.motion(K.point_state(timeline(panel(spark, sf)), cfg)).select(*KEYS, "month_idx", "V_fin_1m")
+    return K.with_ewma(moved, "V_fin_1m", "EWMA_V_fin", cfg.ewma_alpha).select(*KEYS, "EWMA_V_fin")
 
 
 @query("peer_statistics", C.check(
