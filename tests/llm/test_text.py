@@ -89,6 +89,35 @@ def test_junk_is_rejected_and_prose_kept(spark):
     assert kept == {i for i, _ in clean}
 
 
+def test_labelled_rows_are_told_apart_at_two_sizes(spark):
+    for size, bad, clean in (("sf0.01", 0.85, 0.9), ("sf0.1", 0.95, 0.99)):
+        docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+        labels = spark.read.parquet(f"/root/testdata/{size}/labels.parquet")
+        out = quality_rules.quality(docs, quality_rules.trusted_ids(labels, quality_rules.QualityConfig()))
+        seen = out.filter("not base_failed").join(labels, "doc_id").groupBy("quality").agg({"*": "count", "kept": "count_if"})
+        kept = {r["quality"]: (r["count_if(kept)"], r["count(1)"]) for r in seen.collect()}
+        print(size, kept)
+        assert kept[0][0] <= (1 - bad) * kept[0][1] and kept[1][0] >= clean * kept[1][1]
+
+
+def test_scores_leave_the_own_document_out(spark):
+    rows = [(1, "a b c d"), (2, "a b x y"), (3, "a b a z"), (None, "a b q"), (5, ""), (5, "a c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    cfg = quality_rules.QualityConfig()
+    of = [Counter(words(t)) + Counter(zip(words(t), words(t)[1:])) for _, t in rows]
+    raw = sum(of, Counter())
+    good = of[0] + of[1]
+    share = good.total() / raw.total()
+    want = []
+    for (i, t), own in zip(rows, of):
+        hit = i in (1, 2)
+        s = sum(n * math.log((good[g] - n * hit + cfg.prior) / ((raw[g] - n) * share + cfg.prior)) for g, n in own.items())
+        want.append((i, len(words(t)), round(s / own.total(), 9) if own else None))
+    res = quality_rules.quality(docs, marks).collect()
+    assert by_key((r["doc_id"], r["n_words"], None if r["llr"] is None else round(r["llr"], 9)) for r in res) == by_key(want)
+
+
 def test_token_counts(awkward, nothing, sp):
     df, rows = awkward
     want = [(i, len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 100) for i, t in rows]

@@ -1,36 +1,48 @@
-"""Quality rules: a hashed n-gram log-likelihood ratio, in built-in functions only.
+"""Quality rules: an n-gram log-likelihood ratio, in built-in functions only.
 
-Words and word pairs are hashed into ``buckets`` counters. Two multinomials are
-counted: one over every row of the corpus, one over the trusted rows among
-them. A document's score is the mean over its n-grams of
+Every distinct word and word pair has a counter of its own, so the model grows
+with the corpus. Two multinomials are counted: one over every row, one over the
+trusted rows among them. A document's score is the mean over its n-grams of
 log p_trusted - log p_raw, so length does not matter, and one fixed threshold
-decides every document. Base rules (too few words, repeated windows) come
-first.
+decides every document. A document's own n-grams are left out of both counts
+before it is scored and the trusted multinomial is smoothed towards the raw one,
+so an n-gram that no other document has says nothing. Base rules (too few
+words, repeated windows) come first.
+
+No table of counters reaches any one place: a document's sorted n-grams travel
+once, packed by the slot that their hash names, and meet there with their like.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.binding import let
-from tidewatch.llm.common import whole_text, words_of
+from tidewatch.llm.common import shuffle_parts, whole_text, words_of
+from tidewatch.session import stored
 
 
 @dataclass(frozen=True)
 class QualityConfig:
     """Production parameters.
 
-    buckets: hashed n-gram counters; also the bound of what is broadcast.
+    buckets: None for one counter a distinct n-gram. A number hashes into so
+        many shared counters instead, add-one smoothed and broadcast, for
+        vocabularies known to be small.
+    prior: trusted occurrences that the smoothing adds to each n-gram, at the
+        raw share.
     trusted_rows: most labelled rows that the trusted multinomial is fitted
         on, the first by hash of their id. The raw multinomial has all rows.
     threshold: least mean log-likelihood ratio (nats per n-gram) to keep.
     min_words, max_repeat_pct, window: the base rules.
     """
 
-    buckets: int = 4096
+    buckets: int | None = None
+    prior: float = 10.0
     trusted_rows: int = 20_000
     threshold: float = -0.05
     min_words: int = 20
@@ -47,15 +59,18 @@ def trusted_ids(labels: DataFrame, cfg: QualityConfig, id_col: str = "doc_id", f
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.trusted_rows)
 
 
-def _grams(hashes: Column, cfg: QualityConfig) -> Column:
+def _grams(hashes: Column, bucket: Callable[[Column], Column]) -> Column:
     """Buckets of all words, then of all adjacent pairs."""
-    bucket = lambda h: F.pmod(h, F.lit(cfg.buckets)).cast("int")
     pairs = F.filter(
         F.transform(hashes, lambda h, i: F.when(i + 1 < F.size(hashes), bucket(F.xxhash64(h, F.get(hashes, i + 1))))),
         lambda b: b.isNotNull())
     return F.concat(F.transform(hashes, bucket), pairs)
 
 
+def _shared(cfg: QualityConfig) -> Callable[[Column], Column]:
+    return lambda h: F.pmod(h, F.lit(cfg.buckets)).cast("int")
+
+
 def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
@@ -66,7 +81,7 @@ def gram_counts(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig, id_col:
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("hit"))), "doc_id", "left")
     grams = marked.select(
         F.coalesce("hit", F.lit(0)).alias("hit"),
-        F.explode(let(_hashed(words_of(F.col("text"))), lambda h: _grams(h, cfg))).alias("bucket"))
+        F.explode(let(_hashed(words_of(F.col("text"))), lambda h: _grams(h, _shared(cfg)))).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("hit").alias("good"))
 
 
@@ -113,14 +128,62 @@ def _repeat_words(hashes: Column, window: int) -> Column:
     return F.when(F.size(hashes) <= window, F.lit(0).cast("long")).otherwise(count(hashes))
 
 
-def _judged(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig, id_col: str, text_col: str) -> DataFrame:
-    """Score and verdict ``v`` of each row, and the whole input row as ``row``."""
-    w = _constant(gram_weights(gram_counts(docs, trusted, cfg, id_col, text_col), cfg).first()["w"])
+def _mark(id_col: str, text: Column) -> list[Column]:
+    """What a score hangs on: rows that agree in id and text are one document here."""
+    return [F.xxhash64(F.col(id_col), text).alias("mark"), F.hash(text, F.col(id_col)).alias("proof")]
+
+
+def gram_scores(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig, id_col: str, text_col: str) -> DataFrame:
+    """mark, proof, llr of every document with words, from one counter a distinct n-gram."""
+    hits = F.broadcast(trusted.select(F.col("doc_id").alias("__id"), F.lit(1).alias("hit")))
+    marked = docs.join(hits, docs[id_col] == F.col("__id"), "left").select(
+        *_mark(id_col, whole_text(text_col)), F.coalesce("hit", F.lit(0)).alias("hit"),
+        words_of(whole_text(text_col)).alias("words"))
+    n = F.greatest(2 * F.size("words") - 1, F.lit(0))
+    total = marked.agg(F.sum(n).alias("raw"), F.sum(n * F.col("hit")).alias("good")).first()
+    share = (total["good"] or 0) / (total["raw"] or 1)
+    slots = 2 * shuffle_parts(docs)
+    # slot in the high bits, 32 bits of the hash below: two n-grams of a slot share a counter
+    # once in 4 billion
+    code = lambda h: F.call_function("shiftleft", F.pmod(h, F.lit(slots)), F.lit(32)).bitwiseOR(
+        F.shiftrightunsigned(h, 32))
+    slot_of = lambda c: F.shiftright(c, 32).cast("int")
+
+    def packed(g: Column) -> Column:
+        heads = F.filter(
+            F.transform(g, lambda c, i: F.when((i == 0) | (slot_of(c) != slot_of(F.get(g, i - 1))), i)),
+            lambda i: i.isNotNull())
+        return let(heads, lambda at: F.transform(at, lambda p, j: F.struct(
+            slot_of(F.get(g, p)).alias("slot"),
+            F.transform(F.slice(g, p + 1, F.coalesce(F.get(at, j + 1), F.size(g)) - p),
+                        lambda c: (c.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("grams"))))
+
+    parts = let(_hashed(F.col("words")), lambda h: let(F.sort_array(_grams(h, code)), packed))
+    met = marked.select("mark", "proof", "hit", F.explode(parts).alias("part")).select(
+        "mark", "proof", "hit", "part.slot", "part.grams").repartitionById(slots, F.col("slot"))
+    own = met.select("slot", "mark", "proof", "hit", F.explode("grams").alias("gram")).groupBy(
+        "slot", "gram", "mark", "proof", "hit").agg(F.count("*").alias("own"))
+    like = Window.partitionBy("slot", "gram")
+    counted = own.withColumns({
+        "raw": F.sum("own").over(like) - F.col("own"),
+        "good": F.sum(F.col("own") * F.col("hit")).over(like) - F.col("own") * F.col("hit")})
+    ratio = F.log((F.col("good") + cfg.prior) / (F.col("raw") * share + cfg.prior))
+    return counted.groupBy("mark", "proof").agg(
+        (F.sum(F.col("own") * ratio) / F.sum("own")).alias("llr"))
+
+
+def _judged(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig, id_col: str, text_col: str,
+            measures: Callable[[], list[Column]]) -> DataFrame:
+    """Base counts, score and verdict ``v`` of each row, beside its ``measures``; those read ``row`` and ``text``."""
     text = F.col("text")
+    rows = docs.select(F.struct("*").alias("row"), whole_text(text_col).alias("text"))
+    w = None if cfg.buckets is None else _constant(
+        gram_weights(gram_counts(docs, trusted, cfg, id_col, text_col), cfg).first()["w"])
 
     def measured(h: Column) -> Column:
-        llr = let(_grams(h, cfg), lambda g: F.when(F.size(g) > 0, F.aggregate(
-            g, F.lit(0.0), lambda a, b: a + F.get(w, b)) / F.size(g)))
+        llr = F.lit(None).cast("double") if w is None else let(
+            _grams(h, _shared(cfg)), lambda g: F.when(F.size(g) > 0, F.aggregate(
+                g, F.lit(0.0), lambda a, b: a + F.get(w, b)) / F.size(g)))
         return F.struct(F.size(h).cast("long").alias("n_words"), _repeat_words(h, cfg.window).alias("n_repeat_words"),
                         llr.alias("llr"))
 
@@ -133,8 +196,15 @@ def _judged(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig, id_col: str
     # one expression that names every intermediate value: a filter on it may be
     # pushed down and inlined without repeating any work
     verdict = let(let(_hashed(words_of(text)), measured), decided)
-    return docs.select(F.struct("*").alias("row"), whole_text(text_col).alias("text")).select(
-        "row", "text", verdict.alias("v"))
+    if w is not None:
+        return rows.select(*measures(), verdict.alias("v"))
+    scores = stored(gram_scores(docs, trusted, cfg, id_col, text_col), "scores")
+    at = [m.alias(f"__{k}") for k, m in zip(("mark", "proof"), _mark(f"row.{id_col}", text), strict=True)]
+    judged = rows.select(*measures(), *at, verdict.alias("v")).join(
+        scores.select(F.col("mark").alias("__mark"), F.col("proof").alias("__proof"), "llr"), ["__mark", "__proof"], "left")
+    good = ~F.col("v.base_failed") & (F.coalesce("llr", F.lit(0.0)) >= cfg.threshold)
+    return judged.withColumn("v", F.col("v").withField("llr", F.col("llr")).withField("kept", good)).drop(
+        "__mark", "__proof", "llr")
 
 
 def quality(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id",
@@ -150,15 +220,16 @@ def quality(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig = QualityCon
     """
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    return _judged(docs, trusted, cfg, id_col, text_col).select(
-        F.col("row").getField(id_col).alias("doc_id"), "v.n_words",
+    return _judged(docs, trusted, cfg, id_col, text_col, lambda: [
+        F.col("row").getField(id_col).alias("doc_id"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        "v.n_repeat_words", "v.base_failed", "v.kept", "v.llr")
+    ]).select("doc_id", "v.n_words", "word_chars", "n_symbols", "n_dup_lines", "v.n_repeat_words", "v.base_failed",
+              "v.kept", "v.llr")
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, each judged on its own, with all their columns."""
-    return _judged(docs, trusted, cfg, id_col, text_col).filter("v.kept").select("row.*")
+    return _judged(docs, trusted, cfg, id_col, text_col, lambda: [F.col("row")]).filter("v.kept").select("row.*")
