@@ -1,10 +1,11 @@
 """Exact, near, line and substring dedup against brute force; components; suffix sorting."""
 
 import random
+import re
 
 import numpy as np
 from brute import components as brute_components
-from brute import exact, line_sets, near_groups, order, repeats
+from brute import SPACE, exact, line_sets, near_groups, order, repeats, sha
 from conftest import prose
 
 from tidewatch.llm import exact_dedup, golay_simhash, line_dedup, repeated_bytes, suffix_sort
@@ -40,6 +41,33 @@ def test_exact_stage_keeps_columns_and_one_row_per_text(awkward, nothing):
     assert got(exact_dedup.drop_copies(nothing)) == []
 
 
+def shared_ids(spark):
+    """Null ids, one id with several texts, and a copy that shares its id with a text of its own."""
+    texts = [(None, "only here with a null id"), (1, "a text that comes twice in all"), (7, "a text that comes twice in all"),
+             (7, "the only row of this text"), (7, "the only row of this text"), (7, "and one more of number seven"),
+             (None, "and one more of number seven"), (None, None), (None, "")]
+    return spark.createDataFrame(texts, "doc_id long, text string").repartition(3), texts
+
+
+def test_stages_keep_a_row_of_every_text_whatever_its_id(spark, awkward):
+    for df, rows in (shared_ids(spark), awkward):
+        want, _ = exact(rows)
+        out = [(r["doc_id"], sha_of(r["text"])) for r in exact_dedup.drop_copies(df).collect()]
+        assert by_key(out) == by_key({(k, s) for _, k, _, s in want})
+        groups = near_groups(rows)
+        f = [g[1] for g in groups]
+        root = brute_components(range(len(f)), (
+            (a, b) for a in range(len(f)) for b in range(a) if (int(f[a], 16) ^ int(f[b], 16)).bit_count() <= 2))
+        least = {root[k]: g[2] for k, g in enumerate(groups)}
+        out = got(golay_simhash.drop_near_copies(df).select("doc_id", "text"))
+        at = {(i, t or ""): root[k] for k, (i, t) in enumerate(rows)}
+        assert by_key((i, at[i, t or ""]) for i, t in out) == by_key((i, r) for r, i in least.items())
+
+
+def sha_of(text):
+    return sha(re.sub(SPACE, " ", text or ""))
+
+
 def test_digests_need_proof_to_merge():
     assert {"digest", "n_bytes", "proof"} == set(exact_dedup.KEY)
     assert exact_dedup.tree_shape(1, 8) == (1, 8) and exact_dedup.tree_shape(65, 8) == (3, 512)

@@ -89,6 +89,18 @@ def test_junk_is_rejected_and_prose_kept(spark):
     assert kept == {i for i, _ in clean}
 
 
+def test_mix_finds_rows_with_null_and_shared_ids_again(spark):
+    rows = [(None, "a", "n " * 40), (7, "a", "x " * 30), (7, "a", "y " * 90), (7, "b", "y " * 90), (7, "b", "y " * 90), (3, None, "z " * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    cfg = mixing.MixConfig(block=16)
+    want = Counter()
+    for r in mixing.mixed(df, cfg).collect():
+        want[r["doc_id"], r["size"]] += r["copies"]
+    out = mixing.mix_documents(df, cfg)
+    assert out.columns == df.columns
+    assert Counter((r["doc_id"], len(r["text"].split())) for r in out.collect()) == +want
+
+
 def test_labelled_rows_are_told_apart_at_two_sizes(spark):
     for size, bad, clean in (("sf0.01", 0.85, 0.9), ("sf0.1", 0.95, 0.99)):
         docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")

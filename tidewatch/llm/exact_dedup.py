@@ -32,19 +32,23 @@ def tree_shape(parts: int, fan_in: int) -> tuple[int, int]:
     return rounds, fan_in**rounds
 
 
+def _normal(text_col: str) -> Column:
+    return F.regexp_replace(whole_text(text_col), SPACES, " ")
+
+
+def _key(norm: Column) -> list[Column]:
+    values = [F.unhex(F.sha2(norm, 256)), F.octet_length(norm), F.xxhash64(norm)]
+    return [v.alias(k) for k, v in zip(KEY, values, strict=True)]
+
+
 def digest_rows(docs: DataFrame, runs: int, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: id, row number, run and merge key. No shuffle."""
-    plain = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.regexp_replace(whole_text(text_col), SPACES, " ").alias("norm"),
-    )
+    plain = docs.select(F.col(id_col).alias("doc_id"), _normal(text_col).alias("norm"))
     return plain.select(
         "doc_id",
         F.monotonically_increasing_id().alias("row_no"),
         F.pmod(F.spark_partition_id(), F.lit(runs)).cast("int").alias("run"),
-        F.unhex(F.sha2("norm", 256)).alias("digest"),
-        F.octet_length("norm").alias("n_bytes"),
-        F.xxhash64("norm").alias("proof"),
+        *_key(F.col("norm")),
     )
 
 
@@ -64,15 +68,8 @@ def _next_run(round_no: int, fan_in: int, runs: int) -> Column:
     return (F.col("run") + (digit(slot) - digit(F.col("run"))) * unit).cast("int")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after each white-space run became one
-    space. A null text is the empty text. Of equal texts the smallest id stays
-    (null ids count as largest); if the row itself is repeated, exactly one of
-    the repeats is kept. An empty table gives no rows; extra columns are
-    ignored. Ids may be of any ordered type.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, fan_in: int) -> DataFrame:
+    """Every row with its run, key, group size ``n`` and the ``head`` that stays."""
     rounds, runs = tree_shape(shuffle_parts(docs), fan_in)
     rows = stored(digest_rows(docs, runs, id_col, text_col), "digests")
     head = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "row_no")
@@ -83,7 +80,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the verdict goes back down by way of the runs: a text with very many
     # copies has one row per run here, so no key is hot in the last join
     verdict = own.select("run", *KEY).join(level.drop("run"), KEY)
-    return rows.join(verdict, ["run", *KEY]).select(
+    return rows.join(verdict, ["run", *KEY])
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after each white-space run became one
+    space. A null text is the empty text. Of equal texts the smallest id stays
+    (null ids count as largest); if the row itself is repeated, exactly one of
+    the repeats is kept. An empty table gives no rows; extra columns are
+    ignored. Ids may be of any ordered type.
+    """
+    return _grouped(docs, id_col, text_col, fan_in).select(
         "doc_id",
         F.col("head.doc_id").alias("keep_id"),
         F.col("n").alias("group_size"),
@@ -93,10 +102,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, one a text, with all their columns.
 
-    Rows that repeat both id and text collapse to one; ids must not be null.
+    Rows are found again by id and text, so null ids and ids that several texts
+    share lose nothing; rows that repeat both collapse to one.
     """
-    keep = exact_groups(docs, id_col, text_col, fan_in).filter("kept").select(F.col("doc_id").alias("__keep"))
-    stay = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi")
-    return stay.dropDuplicates([id_col])
+    stays = _grouped(docs, id_col, text_col, fan_in).filter(F.col("row_no") == F.col("head.row_no")).select(
+        F.col("doc_id").alias("__id"), *[F.col(k).alias(f"__{k}") for k in KEY])
+    at = [f"__at_{k}" for k in KEY]
+    keyed = docs.withColumn("__norm", _normal(text_col)).select(
+        *docs.columns, *[c.alias(a) for a, c in zip(at, _key(F.col("__norm")), strict=True)])
+    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    for k, a in zip(KEY, at, strict=True):
+        same &= F.col(a) == F.col(f"__{k}")
+    return keyed.join(stays, same, "left_semi").dropDuplicates([id_col, *at]).select(*docs.columns)

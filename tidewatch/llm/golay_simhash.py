@@ -21,10 +21,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import slices
+from tidewatch.llm.common import slices, whole_text
 from tidewatch.llm.components import components
 from tidewatch.session import stored
 
@@ -110,10 +110,15 @@ def fingerprint(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _mark(text_col: str) -> Column:
+    return F.xxhash64(whole_text(text_col))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text", SLICE_BYTES):
         f = fingerprint([t or "" for t in part.column("text").to_pylist()])
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(f.view(np.int64))], names=["doc_id", "f"])
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("mark"), pa.array(f.view(np.int64))], names=["doc_id", "mark", "f"])
 
 
 def golay_keys(f: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +155,20 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def _owned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark (hash of the text), f, root of the component and its least id, of every row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _mark(text_col).alias("mark"),
+                       F.col(text_col).cast("string").alias("text"))
+    marked = stored(rows.mapInArrow(_fingerprints, "doc_id long, mark long, f long"), "fingerprints")
+    distinct = stored(marked.groupBy("f").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = components(links(distinct)).withColumnRenamed("node", "f")
+    linked = distinct.join(roots, "f")
+    least = linked.groupBy("root").agg(F.min("first").alias("component"))
+    owner = distinct.join(linked.join(least, "root").select("f", "root", "component"), "f", "left").select(
+        "f", F.coalesce("root", "f").alias("root"), F.coalesce("component", "first").alias("component_id"))
+    return marked.join(owner, "f")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -160,22 +179,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     least unless a component has no other. Repeated rows share a component; an
     empty table gives no rows; extra columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = stored(rows.mapInArrow(_fingerprints, "doc_id long, f long"), "fingerprints")
-    distinct = stored(marked.groupBy("f").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct)).withColumnRenamed("node", "f")
-    linked = distinct.join(roots, "f")
-    least = linked.groupBy("root").agg(F.min("first").alias("component"))
-    owner = distinct.join(linked.join(least, "root").select("f", "component"), "f", "left").select(
-        "f", F.coalesce("component", "first").alias("component_id"))
-    return marked.join(owner, "f").select(
+    return _owned(docs, id_col, text_col).select(
         "doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the least of their component, with all their columns.
+    """One row of ``docs`` a component, the least id first and null last, with all its columns.
 
-    Rows that repeat an id collapse to one; ids must not be null.
+    Rows are found again by id and text: null ids and ids that several texts
+    share lose no component; rows that repeat both collapse to one.
     """
-    first = near_groups(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
-    return docs.join(first, docs[id_col] == first["__keep"], "left_semi").dropDuplicates([id_col])
+    least = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "mark"))
+    first = _owned(docs, id_col, text_col).groupBy("root").agg(least.alias("k")).select(
+        F.col("k.doc_id").alias("__id"), F.col("k.mark").alias("__mark"))
+    keyed = docs.withColumn("__at", _mark(text_col))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__mark"))
+    return keyed.join(first, same, "left_semi").dropDuplicates([id_col, "__at"]).drop("__at")

@@ -153,6 +153,10 @@ def _placed(sized: DataFrame, cfg: MixConfig) -> DataFrame:
         "stop", F.col("upto") + F.col("earlier")).withColumn("start", F.col("stop") - F.col("size"))
 
 
+def _key(cfg: MixConfig, id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.lit(cfg.seed), F.col(id_col), whole_text(text_col))
+
+
 def mixed(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id", text_col: str = "text",
           source_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, copies.
@@ -165,10 +169,16 @@ def mixed(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id",
     ignored. Reruns agree: the shuffle is keyed by id and text, and row numbers
     only order rows that repeat both.
     """
+    return _planned(docs, cfg, id_col, text_col, source_col).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def _planned(docs: DataFrame, cfg: MixConfig, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The columns of ``mixed`` with source and key of the row."""
     text = whole_text(text_col)
     sized = stored(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.size(words_of(text)).cast("long").alias("size"), F.xxhash64(F.lit(cfg.seed), F.col(id_col), text).alias("key"),
+        F.size(words_of(text)).cast("long").alias("size"), _key(cfg, id_col, text_col).alias("key"),
         F.monotonically_increasing_id().alias("row_no")), "sizes")
     sources = source_targets(sized, cfg)
     known = sized.join(
@@ -184,15 +194,28 @@ def mixed(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id",
     taken = parts.join(times, ["source_no", "block"]).groupBy("row_no").agg(
         F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = known.join(taken, "row_no", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", known["source"], "key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out.withColumn("copies", F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))))
                           .otherwise(0).cast("int"))
 
 
 def mix_documents(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id", text_col: str = "text",
                   source_col: str = "source") -> DataFrame:
-    """The documents of the mix with their columns, each as often as its copies say."""
-    plan = mixed(docs, cfg, id_col, text_col, source_col).filter("copies > 0").groupBy("doc_id").agg(
-        F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    return docs.join(plan, docs[id_col] == plan["__id"]).withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    """The documents of the mix with their columns, each as often as its copies say.
+
+    Rows are found again by id, source and text, null ones too. Rows that repeat
+    all three have a list of copies, which they go through one by one.
+    """
+    own = ["__own_id", "__own_source", "__own_key"]
+    plan = stored(_planned(docs, cfg, id_col, text_col, source_col).groupBy("doc_id", "source", "key").agg(
+        F.sort_array(F.collect_list("copies"), asc=False).alias("__list")).filter(F.get("__list", F.lit(0)) > 0), "copies")
+    keyed = docs.withColumns(dict(zip(own, (
+        F.col(id_col).cast("long"), F.col(source_col).cast("string"), _key(cfg, id_col, text_col)), strict=True)))
+    names = plan.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "key")], "__list")
+    same = F.col(own[0]).eqNullSafe(F.col("__doc_id")) & F.col(own[1]).eqNullSafe(F.col("__source")) & (
+        F.col(own[2]) == F.col("__key"))
+    alone = keyed.join(names.filter(F.size("__list") == 1), same).withColumn("__copies", F.get("__list", F.lit(0)))
+    turn = F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64(*docs.columns)))
+    several = keyed.join(names.filter(F.size("__list") > 1), same).withColumn("__copies", F.get("__list", turn - 1))
+    return alone.union(several).filter("__copies > 0").withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
