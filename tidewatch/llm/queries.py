@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, golay_simhash, language_id, line_dedup, merge_rounds, mixing, quality_rules, repeated_bytes, token_counts, training_order
+from tidewatch.llm import exact_dedup, golay_simhash, language_id, line_dedup, merge_rounds, mixing, quality_rules, repeated_bytes, token_counts, training_order, turn_repair
 from tidewatch.plans.panel import table
 from tidewatch.session import fresh_path
 
@@ -94,3 +94,14 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op11_turn_repair")
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    report = turn_repair.repair_report(turn_repair.damaged(rows))
+    same = F.col("conv_id").eqNullSafe(F.col("known"))
+    counts = [F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in turn_repair.COUNTS]
+    return rows.select(F.col("conv_id").alias("known")).distinct().join(report, same, "left").select(
+        F.col("known").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.lit(turn_repair.EMPTY_SHA)).alias("repaired_sha256"))
