@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, golay_simhash, language_id, line_dedup, merge_rounds, mixing, quality_rules, repeated_bytes, token_counts, training_order, turn_repair
+from tidewatch.llm import exact_dedup, golay_simhash, language_id, line_dedup, merge_rounds, mixing, quality_rules, repeated_bytes, spelling, token_counts, training_order, turn_repair
 from tidewatch.plans.panel import table
 from tidewatch.session import fresh_path
 
@@ -105,3 +105,8 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("conv_id").alias("known")).distinct().join(report, same, "left").select(
         F.col("known").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.lit(turn_repair.EMPTY_SHA)).alias("repaired_sha256"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), typo_every=97))
