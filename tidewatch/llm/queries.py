@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, golay_simhash, language_id, line_dedup, merge_rounds, mixing, quality_rules, repeated_bytes, spelling, token_counts, training_order, turn_repair
+from tidewatch.llm import exact_dedup, golay_simhash, language_id, line_dedup, merge_rounds, mixing, quality_model, quality_rules, repeated_bytes, spelling, token_counts, training_order, turn_repair
 from tidewatch.plans.panel import table
 from tidewatch.session import fresh_path
 
@@ -110,3 +110,11 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling_variants")
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), typo_every=97))
+
+
+@query("op13_quality_classifier")
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
+    scored = quality_model.score(docs, quality_model.train(docs, labels.filter(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "score", quality_model.predicted(F.col("score")).alias("predicted"))
