@@ -9,6 +9,7 @@ from tidewatch.session import fresh_path
 from tidewatch.streaming import governance as G
 from tidewatch.streaming import intake as N
 from tidewatch.streaming import live as S
+from tidewatch.streaming.committed import Committed
 
 
 def events(spark, rows):
@@ -64,7 +65,7 @@ def test_stream_over_several_triggers_equals_batch(spark):
     stream = spark.readStream.schema(MONITOR_EVENT).option("maxFilesPerTrigger", 3).parquet(src)
     out = fresh_path(spark, "out")
     S.drain(stream, lambda df, i: S.govern(df, i, out), fresh_path(spark, "cp"))
-    got = spark.read.parquet(f"{out}/outcomes").select(*G.run_governance(events(spark, rows)).columns)
+    got = Committed(spark, out).read("outcomes").select(*G.run_governance(events(spark, rows)).columns)
     want = G.run_governance(events(spark, rows))
     assert outcomes(got) == WANT
     assert got.exceptAll(want).count() == 0
@@ -105,13 +106,13 @@ def test_online_features_equal_batch(spark):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
     S.drain(stream, S.monitoring(out), fresh_path(spark, "cp"))
     cols = ["reporting_month", "V_fin_1m", "V_fin_3m", "A_fin", "A_exp", "V_phys_3m", "EWMA_V_fin", "observation_number", "trajectory_risk_score"]
-    got = spark.read.parquet(f"{out}/features").select(*cols).orderBy("reporting_month").collect()
+    got = Committed(spark, out).read("features").select(*cols).orderBy("reporting_month").collect()
     want = K.kinetics(timeline(df), peers=K.empty_peers(spark)).select(*cols).orderBy("reporting_month").collect()
     assert got == want
     # the chain goes on to governance: one outcome per accepted observation, and its ledger
-    assert spark.read.parquet(f"{out}/outcomes").count() == n
-    assert spark.read.parquet(f"{out}/ledger").where("event_type = 'MONTHLY_REPORT_SUBMITTED'").count() == n
-    assert spark.read.parquet(f"{out}/rejects").count() == 0
+    assert Committed(spark, out).read("outcomes").count() == n
+    assert Committed(spark, out).read("ledger").where("event_type = 'MONTHLY_REPORT_SUBMITTED'").count() == n
+    assert Committed(spark, out).read("rejects").count() == 0
 
 
 def test_stream_rejects_late_and_repeated_months_over_triggers(spark):
@@ -123,7 +124,7 @@ def test_stream_rejects_late_and_repeated_months_over_triggers(spark):
     for seq, *_ in rows:
         df.where(F.col("arrival_seq") == seq).coalesce(1).write.mode("append").parquet(src)
     S.drain(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src), S.monitoring(out), fresh_path(spark, "cp"))
-    got = {r["arrival_seq"]: r["reject_reason"] for r in spark.read.parquet(f"{out}/rejects").collect()}
+    got = {r["arrival_seq"]: r["reject_reason"] for r in Committed(spark, out).read("rejects").collect()}
     assert got == {3: "CHRONOLOGY_VIOLATION", 4: "DUPLICATE_MONTH", 5: "INVALID_MONTH", 6: "DUPLICATE_MONTH"}
-    kept = spark.read.parquet(f"{out}/features").orderBy("reporting_month").collect()
+    kept = Committed(spark, out).read("features").orderBy("reporting_month").collect()
     assert [(r["reporting_month"], r["observation_number"]) for r in kept] == [("2020-03", 1), ("2020-05", 2), ("2020-06", 3)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import Fold
 from tidewatch.functions.dates import add_months
-from tidewatch.operators.ranking import exact_percentiles, unpivot
+from tidewatch.operators.selection import column_moments, column_percentiles
 from tidewatch.operators.timeline import require_unique_grain
 
 GRAIN = ["project_id", "reporting_month"]
@@ -52,13 +52,12 @@ def cohort_flags(df: DataFrame) -> DataFrame:
 
 
 def feature_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Coverage, mean, spread and quartiles of numeric columns, long form."""
-    tall = unpivot(df, [], columns, "feature", "value")
-    base = tall.groupBy("feature").agg(
-        F.count("*").alias("row_count"), F.count("value").alias("present"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    parts = exact_percentiles(tall, ["feature"], "value", [0.25, 0.5, 0.75])
-    return base.join(parts, "feature", "left").withColumnsRenamed(
+    """Coverage, mean, spread and quartiles of numeric columns, a row per column.
+
+    ``df`` is read several times as columns; pass a stored table.
+    """
+    parts = column_percentiles(df, columns, [0.25, 0.5, 0.75])
+    return column_moments(df, columns).join(parts, "feature", "left").withColumnsRenamed(
         {"p0": "q25", "p1": "median", "p2": "q75"})
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidewatch.functions.identity import is_genuine, is_macro_summary, macro_reason
 from tidewatch.functions.numbers import exact_mean, exact_sum, half_even
 from tidewatch.operators.policies import TIERS, risk_tier, tier_rank
-from tidewatch.operators.ranking import exact_percentiles, running_totals
+from tidewatch.operators.ranking import running_totals
+from tidewatch.operators.selection import column_percentiles
 
 AGE_EDGES = [(-1, 12, "< 1 yr"), (12, 36, "1-3 yrs"), (36, 60, "3-5 yrs"), (60, 120, "5-10 yrs"), (120, 1000, "> 10 yrs")]
 
@@ -248,13 +249,11 @@ DRIVERS = {  # column -> (value for NULL, test)
 def driver_statistics(scored: DataFrame) -> DataFrame:
     """Median, mean and share beyond the threshold of the main drivers."""
     wide = scored.select(*[F.coalesce(F.col(c).cast("double"), F.lit(d)).alias(c) for c, (d, _) in DRIVERS.items()])
-    tall = wide.unpivot([], list(DRIVERS), "driver", "value")
-    beyond = F.lit(False)
-    for c, (_, test) in DRIVERS.items():
-        beyond = F.when(F.col("driver") == c, test(F.col("value"))).otherwise(beyond)
-    base = tall.groupBy("driver").agg(
-        half_even(exact_mean(F.col("value"), 6), 6).alias("mean"), half_even(F.sum(beyond.cast("bigint")) / F.count("*") * 100.0, 4).alias("pct_beyond"))
-    med = exact_percentiles(tall, ["driver"], "value", [0.5])
+    sums = wide.agg(*[F.struct(
+        half_even(exact_mean(F.col(c), 6), 6).alias("mean"),
+        half_even(F.sum(test(F.col(c)).cast("bigint")) / F.count("*") * 100.0, 4).alias("pct_beyond")).alias(c) for c, (_, test) in DRIVERS.items()])
+    base = sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("driver"), f"{c}.mean", f"{c}.pct_beyond") for c in DRIVERS])).alias("e")).select("e.*")
+    med = column_percentiles(wide, list(DRIVERS), [0.5], "driver")
     return base.join(med, "driver").withColumnRenamed("p0", "median").withColumn("median", half_even(F.col("median"), 6))
 
 

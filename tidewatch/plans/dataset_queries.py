@@ -13,9 +13,11 @@ from tidewatch.operators.policies import with_heuristic_score
 from tidewatch.operators.timeline import duplicate_keys, timeline
 from tidewatch.plans import checks as C
 from tidewatch.plans.feature_queries import KEYS, features, labelled_features, rounded, state_labels
+from tidewatch.plans.kept import kept_bucketed
 from tidewatch.plans.panel import panel
 from tidewatch.plans.registry import query
 from tidewatch.schemas import FEATURES, NUMERIC_FEATURES
+from tidewatch.sources.bucketed import join_bucketed
 
 FOLDS = [
     Fold(1, "1997-12", "1998-01", "1998-12", "1999-01", "1999-12"),
@@ -34,14 +36,24 @@ where role is not null
 
 
 def scored(spark, sf):
-    """Labelled features with the heuristic probability."""
-    return with_heuristic_score(labelled_features(spark, sf))
+    """Labelled features with the heuristic probability, stored once in buckets of the entity."""
+    return spark.table(kept_bucketed(spark, sf, "scored", lambda: with_heuristic_score(labelled_features(spark, sf))))
 
 
 def roles(spark, sf):
     return D.with_roles(D.cohort(scored(spark, sf)), FOLDS)
 
 
+def stored_dataset(spark, sf):
+    """Features and labels, each stored apart in buckets of the entity, joined without an exchange.
+
+    Both sides check their months as they are stored.
+    """
+    left = kept_bucketed(spark, sf, "features", lambda: features(spark, sf))
+    right = kept_bucketed(spark, sf, "targets", lambda: G.targets(panel(spark, sf)))
+    return D.with_lineage(join_bucketed(spark, left, right, D.GRAIN, drop=["month_idx"]))
+
+
 _LIN = [f"{C.half_even(c, 6)} as {c}" for c in ("EWMA_V_fin", "Z_peer_V_fin")]
 
 
@@ -50,8 +62,7 @@ select project_id, reporting_month, C_base, trajectory_risk_score, {', '.join(_L
   overrun_composite_12m, distress_type_12m, reporting_month as feature_cutoff_month,
   {C.label('month_idx+6')} as target_horizon_month_6m, {C.label('month_idx+12')} as target_horizon_month_12m from ds""", "ds"))
 def _(spark, sf):
-    # both sides check their months as they run
-    df = D.model_dataset(features(spark, sf), G.targets(panel(spark, sf)), verify=False)
+    df = stored_dataset(spark, sf)
     cols = [*KEYS, "C_base", "trajectory_risk_score", "EWMA_V_fin", "Z_peer_V_fin", "eligible_features", LABEL,
             "distress_type_12m", "feature_cutoff_month", "target_horizon_month_6m", "target_horizon_month_12m"]
     return rounded(df.select(*cols), 6, "EWMA_V_fin", "Z_peer_V_fin")
@@ -79,7 +90,8 @@ _SUM = " union all ".join(
 
 @query("feature_summary", C.check(_SUM, "kin"))
 def _(spark, sf):
-    return rounded(D.feature_summary(features(spark, sf), NUMERIC_FEATURES), 6, "mean", "std", "q25", "median", "q75")
+    rows = spark.table(kept_bucketed(spark, sf, "features", lambda: features(spark, sf)))
+    return rounded(D.feature_summary(rows, NUMERIC_FEATURES), 6, "mean", "std", "q25", "median", "q75")
 
 
 @query("walk_forward_roles", C.check(

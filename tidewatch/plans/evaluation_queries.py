@@ -256,7 +256,7 @@ def _(spark, sf):
 # ---- replay --------------------------------------------------------------
 
 def replay_source(spark, sf):
-    return B.with_heuristic_score(features(spark, sf))
+    return scored(spark, sf)
 
 
 C.fragment("rp0", ("sc",), """

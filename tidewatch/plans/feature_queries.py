@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.numbers import half_even
 from tidewatch.operators import kinetics as K
 from tidewatch.operators import labels as G
+from tidewatch.operators.cusum import cusum
 from tidewatch.operators.timeline import chronology_violations, timeline
 from tidewatch.plans import checks as C
 from tidewatch.plans.panel import panel
@@ -150,3 +151,39 @@ from (select tgt.*, sector_clean, substr(reporting_month,1,4) as year from tgt j
 where target_observable_12m = 1 group by grouping sets ((year),(sector_clean),())""", "tgt", "st"))
 def _(spark, sf):
     return G.prevalence(state_labels(spark, sf))
+
+
+CUSUM = ["cusum_step", "cusum_up", "cusum_down", "cusum_alarm", "cusum_segment"]
+# the sums one month after the other, as they are defined; 0.5 points of slack, 5 of limit, 3 earlier velocities, gaps over 6 months
+C.fragment("cus0", ("mo",), """
+select project_id, reporting_month, observation_number, coalesce(months_since_previous_observation > 6, false) as gap,
+ case when n >= 3 then cast(floor(cast(v*n-t as double)*100/n) as bigint) end as step
+from (select *, count(v) over w as n, sum(v) over w as t from (select *, cast(round(V_fin_1m*100) as bigint) as v from mo)
+      window w as (partition by project_id order by observation_number rows between unbounded preceding and 1 preceding))""")
+C.fragment("cus(project_id, reporting_month, n, step, up, down, alarm, segment)", ("cus0",), """
+select project_id, null::varchar, 0, null::bigint, cast(0 as hugeint), cast(0 as hugeint), null::varchar, 0 from cus0 where observation_number=1
+union all
+select project_id, reporting_month, n, step, up, down, case when up>50000 then 'UP' when down>50000 then 'DOWN' end, segment
+from (select d.project_id, d.reporting_month, d.observation_number as n, d.step,
+  case when d.step is null then if(fresh,0,c.up) else greatest(if(fresh,0,c.up)+d.step-5000, 0) end as up,
+  case when d.step is null then if(fresh,0,c.down) else greatest(if(fresh,0,c.down)-d.step-5000, 0) end as down,
+  c.segment + if(fresh,1,0) as segment
+ from cus c join (select * from cus0) d on d.project_id=c.project_id and d.observation_number=c.n+1,
+ lateral (select (c.alarm is not null or d.gap) as fresh))""")
+_CUSUM = ("select project_id, reporting_month, step as cusum_step, cast(up as bigint) as cusum_up, cast(down as bigint) as cusum_down, "
+          "alarm as cusum_alarm, segment as cusum_segment from cus where n>0")
+_CUS = "cus(project_id, reporting_month, n, step, up, down, alarm, segment)"
+
+
+def cusum_path(spark, sf) -> DataFrame:
+    return cusum(K.motion(K.point_state(timeline(panel(spark, sf)), K.KineticsConfig()))).select(*KEYS, *CUSUM)
+
+
+@query("cusum_path", C.check(_CUSUM, _CUS))
+def _(spark, sf):
+    return cusum_path(spark, sf)
+
+
+@query("cusum_alarms", C.check(_CUSUM + " and alarm is not null", _CUS))
+def _(spark, sf):
+    return cusum_path(spark, sf).where("cusum_alarm is not null")

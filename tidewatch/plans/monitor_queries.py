@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.dates import month_index
-from tidewatch.operators.policies import with_heuristic_score
 from tidewatch.operators.timeline import planned_age
 from tidewatch.plans import checks as C
-from tidewatch.plans.feature_queries import features, rounded
+from tidewatch.plans.dataset_queries import scored
+from tidewatch.plans.feature_queries import rounded
+from tidewatch.plans.kept import kept
 from tidewatch.plans.panel import panel, run_sql
 from tidewatch.plans.registry import query
 from tidewatch.session import fresh_path, stored
 from tidewatch.streaming import governance as G
 from tidewatch.streaming import intake as N
 from tidewatch.streaming import live as S
+from tidewatch.streaming.committed import Committed
 
 REG_SQL = """
 select c_custkey as arrival_seq, case when c_custkey%53=0 then ' ' else concat('N',lpad(cast(c_custkey%700 as string),8,'0')) end as project_id,
@@ -107,7 +109,7 @@ def _(spark, sf):
 
 def governance_events(spark, sf) -> DataFrame:
     """Observations and responses from one pass over the scored panel."""
-    scored = with_heuristic_score(features(spark, sf))
+    rows = scored(spark, sf)
     month = F.col("month_idx")
     none = lambda t: F.lit(None).cast(t)
     observe = F.struct(
@@ -121,7 +123,7 @@ def governance_events(spark, sf) -> DataFrame:
         none("int").alias("persistence_cycles"), none("string").alias("warning_id"), (month % 3 != 0).alias("acknowledged"),
         F.when(month % 5 == 0, " ").otherwise("understood").alias("response_text"), F.lit("more crews").alias("corrective_action"))
     both = F.when(month % 4 == 0, F.array(observe, respond)).otherwise(F.array(observe))
-    return scored.select("project_id", "reporting_month", F.explode(both).alias("e")).select("project_id", "reporting_month", "e.*")
+    return rows.select("project_id", "reporting_month", F.explode(both).alias("e")).select("project_id", "reporting_month", "e.*")
 
 
 def outcomes(spark, sf):
@@ -129,8 +131,8 @@ def outcomes(spark, sf):
 
 
 def kept_outcomes(spark, sf):
-    """The outcomes as a stored table, for results that read them more than once."""
-    return stored(outcomes(spark, sf), "outcomes")
+    """The outcomes as a table stored once a session, for what is derived from them."""
+    return kept(spark, sf, "outcomes", lambda: outcomes(spark, sf))
 
 
 C.fragment("gev", ("sc",), """
@@ -185,12 +187,12 @@ select project_id, arrival_seq, reporting_month, risk, warning_id, cast(i-1 as i
 @query("audit_ledger", C.check(
     "select *, 'AUD-'||upper(sha256(project_id||'|'||arrival_seq||'|'||seq)) as event_id from aud", "aud"))
 def _(spark, sf):
-    return G.audit_ledger(outcomes(spark, sf))
+    return G.audit_ledger(kept_outcomes(spark, sf))
 
 
 @query("project_audit_trail", C.check("select arrival_seq, seq, event_type from aud where project_id='N00000012' order by 1,2", "aud"))
 def _(spark, sf):
-    return G.audit_ledger(outcomes(spark, sf)).where("project_id = 'N00000012'").select("arrival_seq", "seq", "event_type").orderBy("arrival_seq", "seq")
+    return G.audit_ledger(kept_outcomes(spark, sf)).where("project_id = 'N00000012'").select("arrival_seq", "seq", "event_type").orderBy("arrival_seq", "seq")
 
 
 C.fragment("wrn", ("out",), """
@@ -200,7 +202,7 @@ select project_id, warning_id, max(reporting_month) filter (outcome='ISSUED') as
 
 @query("contractor_warnings", C.check("select * from wrn", "wrn"))
 def _(spark, sf):
-    return G.warnings(outcomes(spark, sf))
+    return G.warnings(kept_outcomes(spark, sf))
 
 
 _ESC = "select 'ESC-'||upper(sha256(warning_id)) as escalation_id, project_id, warning_id, arrival_seq, reporting_month, w_risk as risk_at_warning, risk as current_risk, cycles as persistence_duration, response_status from out where outcome='ESCALATED'"
@@ -209,7 +211,7 @@ C.fragment("esc", ("out",), _ESC)
 
 @query("authority_escalations", C.check("select * from esc", "esc"))
 def _(spark, sf):
-    return G.escalations(outcomes(spark, sf))
+    return G.escalations(kept_outcomes(spark, sf))
 
 
 @query("escalation_dossiers", C.check("""
@@ -248,7 +250,7 @@ def _(spark, sf):
 @query("escalations_by_sector", C.check(
     "select e.*, project_name, sector, approved_cost from esc e join prg using (project_id) where lower(sector)='railways'", "esc", "prg"))
 def _(spark, sf):
-    return G.escalation_list(outcomes(spark, sf), panel_registry(spark, sf), "Railways").select(
+    return G.escalation_list(kept_outcomes(spark, sf), panel_registry(spark, sf), "Railways").select(
         "escalation_id", "project_id", "warning_id", "arrival_seq", "reporting_month", "risk_at_warning", "current_risk",
         "persistence_duration", "response_status", "project_name", "sector", "approved_cost")
 
@@ -273,7 +275,7 @@ def _(spark, sf):
 
 @query("cascade_delete", C.check("select (select count(*) from wrn where project_id<>'N00000012') as warnings, (select count(*) from prg where project_id<>'N00000012') as projects", "wrn", "prg"))
 def _(spark, sf):
-    left = G.without_project({"w": G.warnings(outcomes(spark, sf)), "p": panel_registry(spark, sf)}, "N00000012")
+    left = G.without_project({"w": G.warnings(kept_outcomes(spark, sf)), "p": panel_registry(spark, sf)}, "N00000012")
     tagged = left["w"].select(F.lit("w").alias("t")).unionByName(left["p"].select(F.lit("p").alias("t")))
     return tagged.agg(F.count(F.when(F.col("t") == "w", 1)).alias("warnings"), F.count(F.when(F.col("t") == "p", 1)).alias("projects"))
 
@@ -296,7 +298,7 @@ def _(spark, sf):
     """Live outcomes of the whole event history; must equal the batch fold."""
     out = fresh_path(spark, "governance")
     _drained(_staged(governance_events(spark, sf), "events"), lambda df, i: S.govern(df, i, out))
-    return spark.read.parquet(f"{out}/outcomes").select(*OUT)
+    return Committed(spark, out).read("outcomes").select(*OUT)
 
 
 @query("stream_audit_ledger", C.check(
@@ -305,7 +307,7 @@ def _(spark, sf):
     """The ledger that the stream appends; must equal the batch ledger."""
     out = fresh_path(spark, "governance")
     _drained(_staged(governance_events(spark, sf), "events"), lambda df, i: S.govern(df, i, out))
-    return spark.read.parquet(f"{out}/ledger").drop("batch_id")
+    return Committed(spark, out).read("ledger")
 
 
 FEATS = ["V_fin_1m", "V_fin_3m", "A_fin", "V_exp_1m", "A_exp", "V_phys_1m", "A_phys", "schedule_deviation_change", "completion_date_drift",
@@ -324,7 +326,7 @@ def _(spark, sf):
     obs = panel(spark, sf).withColumn("arrival_seq", F.col("month_idx").cast("long"))
     out = fresh_path(spark, "features")
     _drained(_staged(obs, "observations"), lambda df, i: S.featurise(df, i, out))
-    got = spark.read.parquet(f"{out}/features").select("project_id", "reporting_month", *FEATS, "EWMA_V_fin", "trajectory_risk_score")
+    got = Committed(spark, out).read("features").select("project_id", "reporting_month", *FEATS, "EWMA_V_fin", "trajectory_risk_score")
     return rounded(got, 6, "EWMA_V_fin")
 
 
@@ -337,4 +339,37 @@ def _(spark, sf):
         "orig_completion_idx": F.lit(None).cast("int"), "rev_completion_idx": F.lit(None).cast("int")})
     out, known = fresh_path(spark, "rejects"), registry(spark, sf)
     _drained(_staged(raw, "arrivals"), lambda df, i: S.featurise(df, i, out, known))
-    return spark.read.parquet(f"{out}/rejects").select("arrival_seq", "project_id", "reporting_month", "reject_reason")
+    return Committed(spark, out).read("rejects").select("arrival_seq", "project_id", "reporting_month", "reject_reason")
+
+
+IDLE = 6
+# rows whose month is a multiple of 11 are sent again a year later
+_ARRIVALS = """
+select p.*, cast(floor((month_idx-1)/12) as int) as arrival_year, false as again from panel p
+union all select p.*, cast(floor((month_idx-1)/12) as int)+1, true from panel p where month_idx%11=0"""
+C.fragment("arr", ("panel",), _ARRIVALS)
+C.fragment("hor", ("arr",), f"""
+select y, (select max(month_idx) from arr where arrival_year<y and not again) - {IDLE} as hz from (select distinct arrival_year as y from arr)""")
+C.fragment("lastb", ("arr", "hor"), """
+select y, hz, project_id, max(month_idx) as last from hor join arr on arrival_year<y and not again group by all""")
+
+
+@query("stream_expiry", C.check(f"""
+select 'EXPIRED' as event, project_id, {C.label('last')} as reporting_month, {C.label('hz')} as horizon_month from lastb a
+where last<hz and not exists (select 1 from lastb b where b.project_id=a.project_id and b.last=a.last and b.y<a.y and b.last<b.hz)
+union all
+select case when month_idx<hz then 'TOO_LATE' else 'DUPLICATE_MONTH' end, project_id, reporting_month, null from arr join hor on y=arrival_year where again""", "arr", "hor", "lastb"))
+def _(spark, sf):
+    """A year of observations a trigger, each trigger a restart: entities silent for long lose their state, old rows are refused."""
+    arrivals = stored(spark.sql(_ARRIVALS.replace("from panel p", "from {p} p"), p=panel(spark, sf)).withColumn(
+        "arrival_seq", (F.col("month_idx") + F.when(F.col("again"), 12).otherwise(0)).cast("long")), "arrivals")
+    years = sorted(r[0] for r in arrivals.select("arrival_year").distinct().collect())
+    source, out, mark = fresh_path(spark, "arriving"), fresh_path(spark, "expiry"), fresh_path(spark, "stream-checkpoint")
+    for year in years:
+        arrivals.where(F.col("arrival_year") == year).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(arrivals.schema).parquet(source)
+        S.drain(stream, lambda df, i: S.featurise(df, i, out, expiry=S.Expiry(IDLE)), mark)
+    tables = Committed(spark, out)
+    gone = tables.read("expired").select(F.lit("EXPIRED").alias("event"), "project_id", F.col("last_month").alias("reporting_month"), "horizon_month")
+    return gone.unionByName(tables.read("rejects").select(
+        F.col("reject_reason").alias("event"), "project_id", "reporting_month", F.lit(None).cast("string").alias("horizon_month")))

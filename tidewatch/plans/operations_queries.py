@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluate as E
@@ -19,7 +22,9 @@ from tidewatch.plans.monitor_queries import kept_outcomes, panel_registry, regis
 from tidewatch.plans.panel import panel
 from tidewatch.plans.registry import query
 from tidewatch.streaming import governance as G
+from tidewatch.session import fresh_path
 from tidewatch.streaming import intake as N
+from tidewatch.streaming.committed import Committed
 
 ONE = "N00000012"
 
@@ -88,13 +93,16 @@ def _(spark, sf):
     tables = {
         "registrations": panel_registry(spark, sf), "observations": out.where("kind = 'OBSERVE'"), "warnings": G.warnings(out),
         "responses": G.responses(out), "escalations": G.escalations(out), "audit_events": G.audit_ledger(out)}
-    left = G.without_project(tables, ONE)
-    count = None
+    kept = Committed(spark, fresh_path(spark, "operations"))
+    batch = kept.batch(0)
     for name, t in tables.items():
-        n = t.select(F.lit(name).alias("name"), F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(
-            left[name].select(F.lit(name).alias("name"), F.lit(0).alias("b"), F.lit(1).alias("a")))
-        count = n if count is None else count.unionByName(n)
-    return count.groupBy("name").agg(F.sum("b").alias("row_count"), F.sum("a").alias("rows_left"))
+        batch.put(t, name)
+    batch.commit()
+    full = {name: kept.read(name) for name in tables}
+    kept.reset([ONE])
+    parts = [df.select(F.lit(name).alias("name"), F.lit(b).alias("b"), F.lit(1 - b).alias("a"))
+             for name in tables for b, df in ((1, full[name]), (0, kept.read(name)))]
+    return reduce(DataFrame.unionByName, parts).groupBy("name").agg(F.sum("b").alias("row_count"), F.sum("a").alias("rows_left"))
 
 
 ERAS = [("early", "0000", "1995"), ("middle", "1996", "1999"), ("late", "2000", "9999")]

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tidewatch.functions import identity as I
 from tidewatch.functions.numbers import format_crore
 from tidewatch.operators import portfolio as P
-from tidewatch.operators.policies import with_heuristic_score
 from tidewatch.plans import checks as C
-from tidewatch.plans.feature_queries import features
+from tidewatch.plans.dataset_queries import scored
+from tidewatch.plans.kept import kept
 from tidewatch.plans.panel import panel, run_sql, table
 from tidewatch.plans.registry import query
 from tidewatch.session import stored
@@ -19,12 +19,12 @@ CUTOFF = "2001-06"
 
 
 def snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return P.latest_rows(with_heuristic_score(features(spark, sf)))
+    return P.latest_rows(scored(spark, sf))
 
 
 def all_scored(spark, sf):
-    """The scored snapshot, written once: one small row per entity, read by everything below."""
-    return stored(P.score_snapshot(snapshot(spark, sf)), "snapshot")
+    """The scored snapshot, stored once a session: one small row per entity, read by everything below."""
+    return kept(spark, sf, "snapshot", lambda: P.score_snapshot(snapshot(spark, sf)))
 
 
 def genuine(spark, sf):
