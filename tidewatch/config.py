@@ -35,8 +35,12 @@ RESPONSE_DAYS = 15
 
 @dataclass(frozen=True)
 class GbdtConfig:
-    """Boosted trees. Fitting stops before ``trees`` when a tree lowers the
-    validation loss by less than ``tolerance`` of it."""
+    """Boosted trees. Of ``trees`` trees the best prefix by validation loss is
+    kept; after ``patience`` trees without a lower loss no more are looked at.
+
+    max_categories: most values of a categorical feature that have a code of
+    their own; rarer ones share the code of unseen values.
+    """
 
     trees: int = 300
     learning_rate: float = 0.05
@@ -45,7 +49,8 @@ class GbdtConfig:
     row_sample: float = 0.8
     column_sample: float = 0.8
     seed: int = 42
-    tolerance: float = 0.0
+    patience: int = 30
+    max_categories: int = 512
 
 
 @dataclass(frozen=True)
