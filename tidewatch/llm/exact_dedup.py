@@ -108,11 +108,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share lose nothing; rows that repeat both collapse to one.
     """
     stays = _grouped(docs, id_col, text_col, fan_in).filter(F.col("row_no") == F.col("head.row_no")).select(
-        F.col("doc_id").alias("__id"), *[F.col(k).alias(f"__{k}") for k in KEY])
-    at = [f"__at_{k}" for k in KEY]
-    keyed = docs.withColumn("__norm", _normal(text_col)).select(
-        *docs.columns, *[c.alias(a) for a, c in zip(at, _key(F.col("__norm")), strict=True)])
-    same = F.col(id_col).eqNullSafe(F.col("__id"))
-    for k, a in zip(KEY, at, strict=True):
-        same &= F.col(a) == F.col(f"__{k}")
-    return keyed.join(stays, same, "left_semi").dropDuplicates([id_col, *at]).select(*docs.columns)
+        F.col("doc_id").alias("kept_id"), *[F.col(k).alias(f"kept_{k}") for k in KEY])
+    # whole rows travel as one column, so that no name can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), _normal(text_col).alias("norm")).select(
+        "row", "id", *[c.alias(k) for k, c in zip(KEY, _key(F.col("norm")), strict=True)])
+    same = F.col("id").eqNullSafe(F.col("kept_id"))
+    for k in KEY:
+        same &= F.col(k) == F.col(f"kept_{k}")
+    return keyed.join(stays, same, "left_semi").dropDuplicates(["id", *KEY]).select("row.*")

@@ -191,7 +191,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     least = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "mark"))
     first = _owned(docs, id_col, text_col).groupBy("root").agg(least.alias("k")).select(
-        F.col("k.doc_id").alias("__id"), F.col("k.mark").alias("__mark"))
-    keyed = docs.withColumn("__at", _mark(text_col))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__mark"))
-    return keyed.join(first, same, "left_semi").dropDuplicates([id_col, "__at"]).drop("__at")
+        F.col("k.doc_id").alias("first_id"), F.col("k.mark").alias("first_mark"))
+    # whole rows travel as one column, so that no name can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), _mark(text_col).alias("at"))
+    same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("at") == F.col("first_mark"))
+    return keyed.join(first, same, "left_semi").dropDuplicates(["id", "at"]).select("row.*")

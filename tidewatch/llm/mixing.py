@@ -206,16 +206,16 @@ def mix_documents(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "
     Rows are found again by id, source and text, null ones too. Rows that repeat
     all three have a list of copies, which they go through one by one.
     """
-    own = ["__own_id", "__own_source", "__own_key"]
     plan = stored(_planned(docs, cfg, id_col, text_col, source_col).groupBy("doc_id", "source", "key").agg(
-        F.sort_array(F.collect_list("copies"), asc=False).alias("__list")).filter(F.get("__list", F.lit(0)) > 0), "copies")
-    keyed = docs.withColumns(dict(zip(own, (
-        F.col(id_col).cast("long"), F.col(source_col).cast("string"), _key(cfg, id_col, text_col)), strict=True)))
-    names = plan.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "key")], "__list")
-    same = F.col(own[0]).eqNullSafe(F.col("__doc_id")) & F.col(own[1]).eqNullSafe(F.col("__source")) & (
-        F.col(own[2]) == F.col("__key"))
-    alone = keyed.join(names.filter(F.size("__list") == 1), same).withColumn("__copies", F.get("__list", F.lit(0)))
-    turn = F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64(*docs.columns)))
-    several = keyed.join(names.filter(F.size("__list") > 1), same).withColumn("__copies", F.get("__list", turn - 1))
-    return alone.union(several).filter("__copies > 0").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+        F.sort_array(F.collect_list("copies"), asc=False).alias("list")).filter(F.get("list", F.lit(0)) > 0), "copies")
+    # whole rows travel as one column, so that no name can clash
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.col(source_col).cast("string").alias("own_source"),
+        _key(cfg, id_col, text_col).alias("own_key"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source")) & (
+        F.col("own_key") == F.col("key"))
+    alone = keyed.join(plan.filter(F.size("list") == 1), same).withColumn("copies", F.get("list", F.lit(0)))
+    turn = F.row_number().over(Window.partitionBy("own_id", "own_source", "own_key").orderBy(F.xxhash64("row")))
+    several = keyed.join(plan.filter(F.size("list") > 1), same).withColumn("copies", F.get("list", turn - 1))
+    return alone.union(several).filter("copies > 0").select(
+        "row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -135,10 +135,11 @@ def _mark(id_col: str, text: Column) -> list[Column]:
 
 def gram_scores(docs: DataFrame, trusted: DataFrame, cfg: QualityConfig, id_col: str, text_col: str) -> DataFrame:
     """mark, proof, llr of every document with words, from one counter a distinct n-gram."""
-    hits = F.broadcast(trusted.select(F.col("doc_id").alias("__id"), F.lit(1).alias("hit")))
-    marked = docs.join(hits, docs[id_col] == F.col("__id"), "left").select(
-        *_mark(id_col, whole_text(text_col)), F.coalesce("hit", F.lit(0)).alias("hit"),
-        words_of(whole_text(text_col)).alias("words"))
+    hits = F.broadcast(trusted.select(F.col("doc_id").alias("trusted_id"), F.lit(1).alias("hit")))
+    # other columns stay behind, whatever their names
+    marked = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(
+        hits, F.col("id") == F.col("trusted_id"), "left").select(
+        *_mark("id", F.col("text")), F.coalesce("hit", F.lit(0)).alias("hit"), words_of(F.col("text")).alias("words"))
     n = F.greatest(2 * F.size("words") - 1, F.lit(0))
     total = marked.agg(F.sum(n).alias("raw"), F.sum(n * F.col("hit")).alias("good")).first()
     share = (total["good"] or 0) / (total["raw"] or 1)

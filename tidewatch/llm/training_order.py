@@ -12,6 +12,7 @@ only when complete, and a complete one is not written again.
 from __future__ import annotations
 
 import hashlib
+import json
 import sys
 import uuid
 from array import array
@@ -172,10 +173,43 @@ def _written(batches: Iterator[pa.RecordBatch], path: str, pad: int, cfg: OrderC
             out.close()
 
 
+MANIFEST = "manifest.json"
+
+
+def claim(path: str, manifest: dict) -> None:
+    """Write the folder's manifest, or check the one that is there; raises if it is of other sequences."""
+    store, folder = opened(path)
+    store.create_dir(folder)
+    at, found = f"{folder}/{MANIFEST}", store.get_file_info(fs.FileSelector(folder))
+    for f in found:
+        if f.base_name.startswith(".shard-"):  # left by tasks that were lost
+            store.delete_file(f.path)
+    if store.get_file_info(at).type == fs.FileType.File:
+        with store.open_input_stream(at) as f:
+            there = json.loads(f.read())
+        if there != manifest:
+            raise ValueError(f"{path} holds shards of other sequences or another setting")
+        return
+    if any(f.base_name.startswith("shard-") for f in found):
+        raise ValueError(f"{path} holds shards without a manifest")
+    with store.open_output_stream(at) as f:
+        f.write(json.dumps(manifest, sort_keys=True).encode())
+
+
+def _content(cut: DataFrame, model_path: str) -> str:
+    """What the sequences are, whatever the order of rows within the parts."""
+    seen = cut.agg(F.bit_xor(F.xxhash64("part", "no", "doc_id", "seq_no", "ids"))).first()[0]
+    return f"{seen or 0:x} {hashlib.sha256(model_bytes(model_path)).hexdigest()}"
+
+
 def materialise(docs: DataFrame, path: str, model_path: str, cfg: OrderConfig = OrderConfig(), id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """Write shards under ``path``; one row per sequence when the result is evaluated.
 
+    A folder keeps the shards of one set of sequences: its manifest is written
+    first, and another set, key or length is refused. What is there of the same
+    set is kept, so a run that was lost may be repeated.
+
     doc_id, seq_no (within the document), slot, shard, place (record in the
     shard), n_tokens, ids_sha256 (of the ids as little-endian two-byte
     numbers). A null or empty text is a sequence of the end id alone. Repeated
@@ -195,6 +229,9 @@ def materialise(docs: DataFrame, path: str, model_path: str, cfg: OrderConfig =
     shards = max(1, -(-n // cfg.shard_rows))
     tasks = min(shards, cfg.most_tasks)
     pad = processor(proto).eos_id()
+    if n:
+        claim(path, {"n": n, "key": cfg.key, "seq_len": cfg.seq_len, "shard_rows": cfg.shard_rows, "pad": pad,
+                     "content": _content(cut, model_path)})
     slotted = cut.mapInArrow(lambda it: _slotted(it, offsets, n, cfg), "slot long, doc_id long, seq_no int, ids binary")
     range_no = F.floor(F.floor(F.col("slot") / cfg.shard_rows) * tasks / shards).cast("int")
     return slotted.repartitionById(tasks, range_no).sortWithinPartitions("slot").mapInArrow(
