@@ -71,6 +71,59 @@ def test_stream_over_several_triggers_equals_batch(spark):
     assert got.exceptAll(want).count() == 0
 
 
+def random_events(rnd, n=60, entities="ABCD"):
+    rows = []
+    for e in entities:
+        seq = 0
+        for month in range(1, 13):
+            seq += 1
+            rows.append({"project_id": e, "arrival_seq": seq, "reporting_month": f"2024-{month:02d}", "risk": rnd.choice([.3, .45, .55, .7]),
+                         "velocity": rnd.choice([None, -1.0, 0.5, 2.0]), "deviation": rnd.choice([None, 0.0, 5.0]), "score": rnd.choice([None, 10.0, 60.0]),
+                         "persistence_cycles": rnd.choice([None, 3])})
+            for _ in range(rnd.choice([0, 0, 1, 3])):
+                seq += 1
+                rows.append({"kind": "RESPOND", "project_id": e, "arrival_seq": seq, "acknowledged": rnd.choice([True, True, False, None]),
+                             "response_text": rnd.choice(["ok", "ok", " ", None]), "corrective_action": "crew", "named": rnd.choice([None, month, 1, 99])})
+    return rows
+
+
+def test_only_responses_that_may_count_reach_the_fold(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = random_events(rnd)
+    plain = events(spark, [{k: v for k, v in r.items() if k != "named"} for r in rows])
+    names = spark.createDataFrame([(r["project_id"], r["arrival_seq"], f"2024-{r['named']:02d}") for r in rows if r.get("named")], "project_id string, arrival_seq long, m string")
+    named = plain.drop("warning_id").join(names, ["project_id", "arrival_seq"], "left").withColumn(
+        "warning_id", F.when(F.col("m").isNotNull(), G.stable_id("WARN", F.col("project_id"), F.col("m")))).select(*plain.columns)
+    want = G.folded(named).select("project_id", F.inline("out"))  # the fold over everything
+    got = G.run_governance(named)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert got.where("outcome = 'RESPONSE_ACCEPTED'").count() > 0 and got.where("outcome = 'RESPONSE_REJECTED'").count() > 5
+    # the same over triggers, where responses may come without observations of their own
+    src, out = fresh_path(spark, "events"), fresh_path(spark, "out")
+    for low in range(0, 60, 7):
+        named.where((F.col("arrival_seq") > low) & (F.col("arrival_seq") <= low + 7)).coalesce(1).write.mode("append").parquet(src)
+    S.drain(spark.readStream.schema(named.schema).option("maxFilesPerTrigger", 1).parquet(src), lambda df, i: S.govern(df, i, out), fresh_path(spark, "cp"))
+    live = Committed(spark, out).read("outcomes").select(*want.columns)
+    assert live.exceptAll(want).count() == 0 and want.exceptAll(live).count() == 0
+
+
+def test_very_many_responses_of_one_entity(spark):
+    n = 100_000
+    few = events(spark, [observe(1, .6), observe(2, .6, cycles=9), observe(3, .6, cycles=9)])
+    many = spark.range(n).select(
+        F.lit("RESPOND").alias("kind"), F.lit("A").alias("project_id"), (F.col("id") + 11).alias("arrival_seq"), F.lit(None).cast("string").alias("reporting_month"),
+        *[F.lit(None).cast("double").alias(c) for c in ("risk", "velocity", "deviation", "score")], F.lit(None).cast("int").alias("persistence_cycles"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("WARN-"), F.col("id"))).alias("warning_id"), F.lit(True).alias("acknowledged"),
+        F.lit("ok").alias("response_text"), F.lit("crew").alias("corrective_action"))
+    both = few.unionByName(many.select(*few.columns))
+    kept, refused = G.split_responses(both)
+    assert kept.count() <= 3 + 3 and refused.count() >= n - 3
+    got = {r["outcome"]: r["count"] for r in G.run_governance(both).groupBy("outcome").count().collect()}
+    assert got["RESPONSE_ACCEPTED"] == 1 and got["RESPONSE_REJECTED"] == n - 1
+
+
 def test_arrival_order_acceptance_matches_brute_force(spark):
     import random
     rnd = random.Random(7)

@@ -2,8 +2,8 @@
 
 The state machine cannot be expressed as a window (its state depends on its own
 decisions), so each entity's events are folded in arrival order. Accepted
-observations are unique per month and responses are reduced to one per warning
-request before the fold, which bounds the array an entity needs.
+observations are unique per month and responses are reduced to those that may
+be accepted before the fold, which bounds the array an entity needs.
 """
 
 from __future__ import annotations
@@ -139,13 +139,14 @@ def prepare(events: DataFrame) -> DataFrame:
 
 
 def run_governance(events: DataFrame) -> DataFrame:
-    """Outcome of every event, in one exchange on the entity.
+    """Outcome of every event.
 
-    ``events`` holds accepted observations (one per entity and month) and
-    responses; repeated identical responses should be reduced beforehand with
-    :func:`first_responses`.
+    ``events`` holds accepted observations (one per entity and month) and any
+    number of responses; the fold sees only those that may be accepted.
     """
-    return folded(events).select("project_id", F.inline("out"))
+    kept, refused = split_responses(events)
+    step = folded(kept)
+    return step.select("project_id", F.inline("out")).unionByName(refused_outcomes(refused, step))
 
 
 def folded(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
@@ -164,17 +165,67 @@ def folded(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
     return packed.withColumn("fold", F.aggregate("events", start, _step)).select("project_id", "fold.state", "fold.out")
 
 
-def first_responses(responses: DataFrame) -> DataFrame:
-    """Keep the first valid response per named warning before the fold.
+def split_responses(events: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events that the fold has to see, and responses that can only be refused.
 
-    Later ones could only be refused; they are reported as such without being
-    sent to the entity's task.
+    Between two observations an entity has one active warning, and one response
+    to it can be accepted: the first that is complete and names that warning or
+    none. So of the complete ones only the first after each observation and for
+    each warning that the entity may have had is kept, which bounds the fold by
+    the entity's months. The observations of an entity meet its responses as
+    one short array; the responses themselves are never gathered.
     """
-    filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
     good = F.coalesce("acknowledged", F.lit(False)) & filled("response_text") & filled("corrective_action")
-    rest = [c for c in responses.columns if c not in ("project_id", "warning_id")]
-    return responses.where(good & F.col("warning_id").isNotNull()).groupBy("project_id", "warning_id").agg(
-        F.min_by(F.struct(*rest), "arrival_seq").alias("r")).select("project_id", "warning_id", "r.*")
+    observed, answers = events.where("kind = 'OBSERVE'"), events.where("kind <> 'OBSERVE'")
+    warned = stable_id("WARN", F.col("project_id"), F.coalesce("reporting_month", F.lit("")))
+    months = observed.groupBy("project_id").agg(
+        F.array_sort(F.collect_list("arrival_seq")).alias("_seqs"), F.collect_set(warned).alias("_ids"))
+    met = answers.join(months, "project_id", "left")
+    ids = F.coalesce("_ids", F.array().cast("array<string>"))
+    if before is not None:
+        met = met.join(before.select("project_id", F.col("state.warning_id").alias("_old")), "project_id", "left")
+        ids = F.concat(ids, F.array_compact(F.array("_old")))
+    slot = F.size(F.filter(F.coalesce("_seqs", F.array().cast("array<bigint>")), lambda s: s < F.col("arrival_seq")))
+    met = met.withColumns({"_slot": slot, "_fits": F.coalesce(good & (F.col("warning_id").isNull() | F.array_contains(ids, F.col("warning_id"))), F.lit(False))})
+    first = met.where("_fits").groupBy("project_id", "_slot", "warning_id").agg(F.min("arrival_seq").alias("_first")).select(
+        F.col("project_id").alias("_p"), F.col("_slot").alias("_s"), F.col("warning_id").alias("_w"), "_first")
+    same = (F.col("project_id") == F.col("_p")) & (F.col("_slot") == F.col("_s")) & F.col("warning_id").eqNullSafe(F.col("_w"))
+    judged = met.join(first, same, "left")
+    wins = F.col("_fits") & (F.col("arrival_seq") == F.col("_first"))
+    plain = judged.withColumn("_wins", F.coalesce(wins, F.lit(False))).select(*events.columns, "_wins")
+    return observed.unionByName(plain.where("_wins").drop("_wins")), plain.where("not _wins").drop("_wins")
+
+
+def refused_outcomes(refused: DataFrame, step: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Outcome rows of responses that the fold did not see, in the state their entity had when they came.
+
+    ``step`` is the result of :func:`folded`; its outcomes of an entity are
+    bounded by the entity's months.
+    """
+    trail = step.select("project_id", F.transform("out", lambda o: F.struct(
+        *[o[c].alias(c) for c in ("arrival_seq", "project_status", "warning_id", "warning_status", "cycles", "w_risk")])).alias("_trail"))
+    met = prepare(refused).join(trail, "project_id", "left")
+    start = F.lit(None)
+    if before is not None:
+        met = met.join(before.select("project_id", F.col("state").alias("_state")), "project_id", "left")
+        old = F.col("_state")
+        known = lambda c: F.when(old["active"], old[c])
+        start = F.when(old.isNotNull(), F.struct(
+            F.lit(None).cast("bigint").alias("arrival_seq"), old["project_status"].alias("project_status"), known("warning_id").alias("warning_id"),
+            known("warning_status").alias("warning_status"), known("cycles").alias("cycles"), known("w_risk").alias("w_risk")))
+    past = F.filter("_trail", lambda o: o["arrival_seq"] < F.col("arrival_seq"))
+    met = met.withColumn("_at", F.coalesce(F.try_element_at(past, F.lit(-1)), start))
+    at = F.col("_at")
+    active = at["warning_id"].isNotNull() & ~F.coalesce(at["warning_status"].isin(RECOVERED, ESCALATED), F.lit(False))
+    now = lambda c: F.when(active, at[c])
+    text = F.lit(None).cast("string")
+    return met.select("project_id", F.struct(
+        F.col("kind").alias("kind"), F.col("arrival_seq"), F.col("reporting_month"), F.col("risk"), F.lit("RESPONSE_REJECTED").alias("outcome"),
+        F.lit("NONE").alias("action"), text.alias("recovery_status"), now("warning_id").alias("warning_id"),
+        now("warning_status").alias("warning_status"), F.coalesce(at["project_status"], F.lit("ACTIVE")).alias("project_status"),
+        now("cycles").alias("cycles"), F.col("persistence_cycles").alias("required_cycles"), text.alias("response_status"),
+        now("w_risk").alias("w_risk")).cast(OUT_DDL).alias("o")).select("project_id", "o.*")
 
 
 # ---- tables derived from the outcomes ------------------------------------
