@@ -44,13 +44,17 @@ def roles(spark, sf):
     return D.with_roles(D.cohort(scored(spark, sf)), FOLDS)
 
 
+def feature_table(spark, sf) -> str:
+    return kept_bucketed(spark, sf, "features", lambda: scored(spark, sf).select(*features(spark, sf).columns))
+
+
 def stored_dataset(spark, sf):
     """Features and labels, each stored apart in buckets of the entity, joined without an exchange.
 
-    Both sides check their months as they are stored.
+    One pass over the panel computes and checks both.
     """
-    left = kept_bucketed(spark, sf, "features", lambda: features(spark, sf))
-    right = kept_bucketed(spark, sf, "targets", lambda: G.targets(panel(spark, sf)))
+    left = feature_table(spark, sf)
+    right = kept_bucketed(spark, sf, "targets", lambda: scored(spark, sf).select(*G.targets(panel(spark, sf)).columns))
     return D.with_lineage(join_bucketed(spark, left, right, D.GRAIN, drop=["month_idx"]))
 
 
@@ -90,7 +94,7 @@ _SUM = " union all ".join(
 
 @query("feature_summary", C.check(_SUM, "kin"))
 def _(spark, sf):
-    rows = spark.table(kept_bucketed(spark, sf, "features", lambda: features(spark, sf)))
+    rows = spark.table(feature_table(spark, sf))
     return rounded(D.feature_summary(rows, NUMERIC_FEATURES), 6, "mean", "std", "q25", "median", "q75")
 
 
