@@ -105,15 +105,32 @@ def test_suffix_order_and_least_owner():
 
 def test_line_dedup(awkward, nothing):
     df, rows = awkward
-    # repeated ids have no order among themselves that a plain list could state
-    ids = [i for i, _ in rows]
-    single = df.dropDuplicates(["doc_id"]).filter("doc_id is not null")
-    left = sorted({i: t for i, t in rows if i is not None and ids.count(i) >= 1}.items())
+    # rows that share an id share their text here, so their order among themselves is free
     for cfg in (line_dedup.LineConfig(), line_dedup.LineConfig(bits=8, block=2, chunk_bytes=500, pair_limit=20)):
-        assert by_key(got(line_dedup.without_repeated_lines(single, cfg))) == by_key(line_sets(left))
+        assert by_key(got(line_dedup.without_repeated_lines(df, cfg))) == by_key(line_sets(rows))
     assert got(line_dedup.without_repeated_lines(nothing)) == []
 
 
+def test_positional_filter_bounds_what_lines_share(spark):
+    """Against every pair of small word sets: no similar pair is dropped, and others are."""
+    rng = random.Random(3)
+    lines = [sorted(rng.sample(range(14), rng.randint(1, 12))) for _ in range(120)]
+    met, dropped = [], 0
+    for x, a in enumerate(lines):
+        for b in lines[:x]:
+            shared = sorted(set(a) & set(b))
+            for first, last in [(w, w) for w in shared[:2]] + list(zip(shared, shared[1:], strict=False))[:2]:
+                met.append((*[(len(t), 0, 0, t.index(first) << 16 | t.index(last)) for t in (a, b)], 9 * len(shared) >= 4 * (len(a) + len(b))))
+    side = "struct<size int, b0 long, b1 long, place int>"
+    pairs = spark.createDataFrame(met, f"p {side}, t {side}, similar boolean")
+    seen = pairs.select("p", "t", "similar", line_dedup._may_match("p", "t").alias("passes")).collect()
+    for r in seen:
+        assert r["passes"] or not r["similar"]
+        lengths = 5 * min(r["p"]["size"], r["t"]["size"]) >= 4 * max(r["p"]["size"], r["t"]["size"])
+        dropped += lengths and not r["passes"]
+    assert dropped > 0
+
+
 def test_line_dedup_many_similar_lines(spark):
     """One rare pair of words in very many lines, some alike and some not."""
     rng = random.Random(5)
