@@ -1,5 +1,6 @@
 """Quality, language, tokens, training order and mixing against brute force and the libraries."""
 
+import dataclasses
 import math
 import random
 import re
@@ -193,6 +194,69 @@ def test_language(spark, nothing):
     assert got(language_id.predict(nothing, model)) == []
 
 
+def grams_of(text, orders=(2, 3, 4)):
+    low = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    return Counter(f" {w} "[k:k + n] for w in low.split() for n in orders for k in range(len(w) + 3 - n))
+
+
+def plain_language(learned, asked, cfg):
+    """(best languages, score) of each text from plain sets of n-grams in place of filters."""
+    counts, rows = {}, Counter()
+    for text, lang in learned:
+        counts.setdefault(lang, Counter()).update(grams_of(text))
+        rows[lang] += 1
+    part = {x: {g: n / c.total() for g, n in c.items()} for x, c in counts.items()}
+    top = Counter()
+    for p in part.values():
+        for g, v in p.items():
+            top[g] = max(top[g], v)
+    members = {x: {g for g, v in p.items() if counts[x][g] >= cfg.min_count and v >= cfg.least_part and v >= cfg.share * top[g]}
+               for x, p in part.items()}
+    out = []
+    for text in asked:
+        g = grams_of(text)
+        shares = {x: sum(n for k, n in g.items() if k in members[x]) / g.total() for x in sorted(members)} if g else {}
+        high, whole = max(shares.values(), default=0.0), sum(shares.values())
+        best = {"und"} if not g else {max(sorted(rows), key=rows.get)} if not whole else {x for x, v in shares.items() if v == high}
+        out.append((best, high / whole if whole else 0.0))
+    return out, max(map(len, members.values()))
+
+
+def test_language_against_plain_sets(spark, awkward):
+    """Filters so large that false hits do not matter give what sets of n-grams give, on any text."""
+    rng = random.Random(21)
+    parts = {"xx": "ka ru mi to la", "yy": "sch ung mi ber", "zz": "eau to que ment é", "ww": "ka ber ß o"}
+    make = lambda x, n: " ".join("".join(rng.choice(parts[x].split()) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    learned = [(make(x, rng.randint(0, 40)), x) for x in rng.choices(sorted(parts), k=200)] + [(None, "xx"), ("", "yy"), ("12 34", "zz")]
+    learned += learned[:5]
+    asked = [t for _, t in awkward[1]] + [make(x, rng.randint(1, 9)) for x in parts for _ in range(20)] + ["KARUMI, tola!", "karumi" * 9_000]
+    for cfg in (language_id.LangConfig(false_hits=1e-9), language_id.LangConfig(false_hits=1e-9, least_part=0.002, min_count=8)):
+        want, most = plain_language(learned, asked, cfg)
+        model = language_id.train(spark.createDataFrame(learned, "text string, lang string"), cfg)
+        assert model.bits == language_id.bits_for(most, cfg)
+        rows = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+        seen = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(rows, model, cfg).collect()}
+        for k, (best, score) in enumerate(want):
+            assert seen[k][0] in best and abs(seen[k][1] - score) < 1e-6, (k, asked[k])
+
+
+def test_filter_size_follows_its_members(spark):
+    """False hits stay within the stated rate at any number of members, and the number is bounded."""
+    cfg = language_id.LangConfig()
+    for members in (1, 50, 5000, 200_000):
+        bits, rng = language_id.bits_for(members, cfg), np.random.default_rng(members)
+        mask = np.zeros(1 << bits, bool)
+        own = dataclasses.replace(cfg, bits=bits)
+        for p in language_id._positions(rng.integers(0, 1 << 63, members, np.uint64), own):
+            mask[p] = True
+        foreign = language_id._positions(rng.integers(0, 1 << 63, 200_000, np.uint64), own)
+        assert np.logical_and.reduce([mask[p] for p in foreign]).mean() <= 1.3 * cfg.false_hits
+    assert language_id.bits_for(int(1 / cfg.least_part), cfg) == 23
+    one = spark.createDataFrame([("".join(chr(0x4E00 + 50 * k + j) for j in range(40)), "xx") for k in range(100)] * 3, "text string, lang string")
+    few, many = (language_id.train(one, dataclasses.replace(cfg, least_part=p)) for p in (0.01, 0.00001))
+    assert few.bits == 10 and many.bits > few.bits and many.fill.max() ** cfg.hashes <= 1.3 * cfg.false_hits
+
+
 def test_filter_has_every_member():
     """No false negatives: an n-gram put in is always found, whatever the fill."""
     cfg = language_id.LangConfig(bits=8)

@@ -6,13 +6,17 @@ language the hits of a document are counted, corrected for the false positives
 that the language's fill makes likely, and the largest corrected share decides.
 
 Training counts every n-gram of every training row in Spark; a language's
-filter gets the n-grams that are about as frequent in it as in any other.
+filter gets the n-grams that are about as frequent in it as in any other. The
+members are counted before the filter is made, and its size follows from them
+and the rate of false hits that is allowed.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import slices
+from tidewatch.session import stored
+
+log = logging.getLogger(__name__)
 
 SLICE_BYTES = 2 << 20
 SPACE = 32
@@ -31,18 +38,25 @@ class LangConfig:
     """Production parameters.
 
     orders: lengths of the n-grams, a word's edges counting as one space.
-    bits: the filter has 2**bits positions, whatever the corpus; this bounds
-        the model (8 bytes a position for each 64 languages).
     hashes: positions of an n-gram.
+    false_hits: most false hits of a foreign n-gram, by which the filter gets
+        its size from the counted members of its fullest language.
+    bits: None for that, or a number for 2**bits positions whatever the members.
     min_count: least occurrences in a language's training text.
+    least_part: least relative frequency in a language's training text. So a
+        language has at most 1 / least_part members however large the corpus,
+        and with the other settings here the filter at most 2**23 positions (8
+        bytes each for every 64 languages).
     share: an n-gram belongs to a language if its relative frequency there is
         at least this part of its largest over the languages.
     """
 
     orders: tuple[int, ...] = (2, 3, 4)
-    bits: int = 20
     hashes: int = 3
+    false_hits: float = 0.001
+    bits: int | None = None
     min_count: int = 3
+    least_part: float = 2.0**-18
     share: float = 0.5
 
 
@@ -50,9 +64,20 @@ class LangConfig:
 class LangModel:
     langs: list[str]  # by code point
     masks: np.ndarray  # (words of 64 languages, positions)
+    fill: np.ndarray  # part of the positions that are set, by language
     wrong: np.ndarray  # probability that a foreign n-gram hits, by language
     default: str  # the language of most training rows
 
+    @property
+    def bits(self) -> int:
+        return self.masks.shape[1].bit_length() - 1
+
+
+def bits_for(members: int, cfg: LangConfig) -> int:
+    """Least size (as a power of two) at which so many members keep false hits within ``cfg.false_hits``."""
+    fill = cfg.false_hits ** (1 / cfg.hashes)
+    return max(10, math.ceil(math.log2(max(members, 1) * cfg.hashes / -math.log1p(-fill))))
+
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
@@ -130,15 +155,16 @@ def _positions(h: np.ndarray, cfg: LangConfig) -> list[np.ndarray]:
 def train(docs: DataFrame, cfg: LangConfig = LangConfig(), text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """Learn from every row that has a language.
 
-    What reaches the driver is bounded: a row per language and the filter's
-    2**bits positions.
+    What reaches the driver is bounded: two rows a language and the filter's
+    positions, whose number ``least_part`` and ``false_hits`` bound. The fill of
+    each language is logged. Without a language nothing is learned.
     """
     rows = docs.filter(F.col(lang_col).isNotNull()).select(
         F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     per_lang = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
     langs = [x for x, _ in per_lang]
     words = max(1, -(-len(langs) // 64))
-    masks = np.zeros((words, 1 << cfg.bits), np.uint64)
+    masks = np.zeros((words, 1 << 10), np.uint64)
     if langs:
         # few grams and languages remain after the map-side sums
         counts = rows.mapInArrow(lambda it: _counted(it, cfg.orders), "lang string, gram long, n long").groupBy(
@@ -147,8 +173,12 @@ def train(docs: DataFrame, cfg: LangConfig = LangConfig(), text_col: str = "text
         by_gram = counts.join(totals, "lang").groupBy("gram").agg(
             F.max(F.col("n") / F.col("total")).alias("top"),
             F.collect_list(F.struct("lang", "n", (F.col("n") / F.col("total")).alias("part"))).alias("found"))
-        member = by_gram.select("gram", "top", F.explode("found").alias("f")).filter(
-            (F.col("f.n") >= cfg.min_count) & (F.col("f.part") >= cfg.share * F.col("top"))).select("gram", "f.lang")
+        member = stored(by_gram.select("gram", "top", F.explode("found").alias("f")).filter(
+            (F.col("f.n") >= cfg.min_count) & (F.col("f.part") >= cfg.least_part)
+            & (F.col("f.part") >= cfg.share * F.col("top"))).select("gram", "f.lang"), "members")
+        most = member.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        cfg = replace(cfg, bits=bits_for(most, cfg) if cfg.bits is None else cfg.bits)
+        masks = np.zeros((words, 1 << cfg.bits), np.uint64)
         at = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int") - 1
         size, hashes = 1 << cfg.bits, cfg.hashes
         step = F.shiftrightunsigned("gram", 40).bitwiseOR(F.lit(1))
@@ -161,8 +191,10 @@ def train(docs: DataFrame, cfg: LangConfig = LangConfig(), text_col: str = "text
         got = slots.toPandas()
         masks[got["word"].to_numpy(), got["place"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
     fill = np.array([((masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
+    for lang, part in zip(langs, fill, strict=True):
+        log.info("language %s: %.2f %% of 2**%d positions are set", lang, 100 * part, masks.shape[1].bit_length() - 1)
     default = max(per_lang, key=lambda x: x[1])[0] if langs else "und"
-    return LangModel(langs, masks, fill**cfg.hashes, default)
+    return LangModel(langs, masks, fill, fill**cfg.hashes, default)
 
 
 def _judge(texts: list[str], model: LangModel, cfg: LangConfig) -> tuple[list[str], np.ndarray]:
@@ -198,7 +230,8 @@ def predict(docs: DataFrame, model: LangModel, cfg: LangConfig = LangConfig(), i
     most training rows with score 0; ties go to the first language by code
     point. Repeated rows are judged alike; extra columns are ignored.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits positions at most
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size, see LangConfig
+    cfg = replace(cfg, bits=model.bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
