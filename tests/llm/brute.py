@@ -1,7 +1,9 @@
 """Plain re-statements of what the text operators must return, for small inputs."""
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import xxhash
 
@@ -107,3 +109,40 @@ def near_groups(rows):
     for k, (i, _) in enumerate(rows):
         least[r[k]] = min(least.get(r[k], i), i, key=order)
     return [(i, f"{f[k]:016x}", least[r[k]]) for k, (i, _) in enumerate(rows)]
+
+
+def llrs(rows, trusted, prior=10.0):
+    """Log-likelihood ratio of each row of (id, text), rows that agree in both being one document."""
+    of = [Counter(words(t)) + Counter(zip(words(t), words(t)[1:])) for _, t in rows]
+    raw = sum(of, Counter())
+    good = sum((c for (i, _), c in zip(rows, of) if i in trusted), Counter())
+    share = good.total() / raw.total() if raw else 0.0
+    own = {}
+    for row, c in zip(rows, of):
+        own[row] = own.get(row, Counter()) + c
+    score = {}
+    for row, c in own.items():
+        hit = row[0] in trusted
+        score[row] = sum(n * math.log((good[g] - n * hit + prior) / ((raw[g] - n) * share + prior)) for g, n in c.items()) / max(c.total(), 1)
+    return [score[row] for row in rows]
+
+
+def mix_taken(rows, target, block):
+    """rows (id, source, size, key), target by source -> words taken of each row, block by block.
+
+    A source's rows lie in order of their keys; it is gone through block by
+    block, from the start again where it ends, until a further block would
+    bring it no nearer to its target.
+    """
+    out = [0] * len(rows)
+    for source, want in target.items():
+        line = []
+        for k in sorted((k for k, r in enumerate(rows) if r[1] == source), key=lambda k: (rows[k][3] % 2**64, rows[k][0] is not None, rows[k][0] or 0)):
+            line += [k] * rows[k][2]
+        blocks = [line[a:a + block] for a in range(0, len(line), block)]
+        held, turn = 0, 0
+        while blocks and abs(held + len(blocks[turn % len(blocks)]) - want) < abs(held - want):
+            for k in blocks[turn % len(blocks)]:
+                out[k] += 1
+            held, turn = held + len(blocks[turn % len(blocks)]), turn + 1
+    return out
