@@ -12,6 +12,7 @@ from tidewatch.functions.numbers import exact_mean, exact_sum, half_even
 from tidewatch.operators.policies import TIERS, risk_tier, tier_rank
 from tidewatch.operators.ranking import running_totals
 from tidewatch.operators.selection import column_percentiles
+from tidewatch.operators.timeline import entity
 
 AGE_EDGES = [(-1, 12, "< 1 yr"), (12, 36, "1-3 yrs"), (36, 60, "3-5 yrs"), (60, 120, "5-10 yrs"), (120, 1000, "> 10 yrs")]
 
@@ -19,13 +20,16 @@ AGE_EDGES = [(-1, 12, "< 1 yr"), (12, 36, "1-3 yrs"), (36, 60, "3-5 yrs"), (60,
 def latest_rows(df: DataFrame) -> DataFrame:
     """The last row of each entity as it stands, NULLs included, plus its first month.
 
-    One aggregation with map-side combine instead of a ranked window.
+    A ranked window: a table in buckets of the entity is not moved, and only
+    the columns that are asked for are read and sorted.
     """
     rest = [c for c in df.columns if c != "project_id"]
-    return df.groupBy("project_id").agg(
-        F.max_by(F.struct(*rest), "month_idx").alias("_row"),
-        F.min("reporting_month").alias("start_month"),
-    ).select("project_id", *[F.col(f"_row.{c}").alias(c) for c in rest], "start_month")
+    ranked = df.withColumns({
+        "_at": F.row_number().over(entity().orderBy(F.desc_nulls_last("month_idx"))),
+        "start_month": F.min("reporting_month").over(entity()),
+    }).where("_at = 1")
+    known = F.col("month_idx").isNotNull()
+    return ranked.select("project_id", *[F.when(known, F.col(c)).alias(c) for c in rest], "start_month")
 
 
 def genuine_only(snapshot: DataFrame) -> DataFrame:
