@@ -1,5 +1,7 @@
 """Hand-computed panels: timeline, kinetics, labels, policies, replay, lead times."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from tidewatch.operators import kinetics as K
 from tidewatch.operators import labels as G
 from tidewatch.operators import leadtime as L
 from tidewatch.operators import policies as B
+from tidewatch.operators import portfolio as P
 from tidewatch.operators import ranking
 from tidewatch.operators import replay as R
 from tidewatch.operators.quality import audit_leakage
@@ -155,3 +158,39 @@ def test_exact_percentiles_with_a_dominant_value(spark):
     got = {r["g"]: r for r in ranking.exact_percentiles(df, ["g"], "v", [0.25, 0.5, 0.9], buckets=8).collect()}
     assert [got["a"][f"p{i}"] for i in range(3)] == pytest.approx(list(np.percentile(vals, [25, 50, 90])))
     assert got["b"]["p1"] == 1.5
+
+
+def test_mean_follows_gaps_whatever_order_rows_come_in(spark):
+    rows = months(2020, 5, financial_progress=[1.0, 2.0, None, 5.0, 9.0]) + [
+        r | {"project_id": "P2"} for r in months(2021, 3, financial_progress=[4.0, 4.0, 8.0])]
+    moved = K.motion(K.point_state(timeline(frame(spark, rows[::-1])), K.KineticsConfig()))
+    k = K.with_ewma(moved, "V_fin_1m", "m", 0.3)
+    assert k.columns == [*moved.columns, "m"]
+    mean = (0.7 * 0.7 * 0.7 * 1.0 + 0.3 * 4.0) / (0.7 * 0.7 * 0.7 + 0.3)
+    assert column(k, "m") == [None, 1.0, 1.0, 1.0, pytest.approx(mean), None, 0.0, pytest.approx(0.3 * 4.0)]
+    # a plan that gathers whole rows sorts each of them three times
+    assert "collect_list(struct(month_idx" not in k._jdf.queryExecution().toString()
+
+
+def test_generated_methods_are_short_enough_to_compile(spark):
+    """The JVM leaves methods above 8,000 bytes to its interpreter, which is some fifty times slower."""
+    scored = B.with_heuristic_score(K.kinetics(G.with_labels(timeline(frame(spark, months(2020, 4, financial_progress=1.0))))))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = scored.select("*")._jdf.queryExecution().executedPlan()
+        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(s) for s in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_latest_rows_of_repeated_and_unknown_months(spark):
+    rows = spark.createDataFrame(
+        [("A", 1, "2020-01", 5.0), ("A", 2, "2020-02", None), ("B", None, "2020-07", 1.0), (None, 3, "2020-03", 2.0)],
+        "project_id string, month_idx int, reporting_month string, v double")
+    last = P.latest_rows(rows)
+    assert {tuple(r) for r in last.collect()} == {
+        ("A", 2, "2020-02", None, "2020-01"), ("B", None, None, None, "2020-07"), (None, 3, "2020-03", 2.0, "2020-03")}
+    # only what is asked for is read: the wide rest does not pass through an aggregate
+    assert "max_by" not in last.select("project_id", "v")._jdf.queryExecution().toString()
