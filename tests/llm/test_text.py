@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +17,7 @@ from conftest import prose
 
 from tidewatch.llm import language_id, merge_rounds, mixing, quality_rules, token_counts, training_order
 from tidewatch.llm.pieces import model_bytes, pretokens
-from tidewatch.session import fresh_path
+from tidewatch.session import fresh_path, shared_dir
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 CFG = quality_rules.QualityConfig(buckets=64, trusted_rows=50)
@@ -305,6 +306,34 @@ def test_training_order(spark, awkward, nothing, sp):
     assert got(training_order.materialise(nothing, fresh_path(spark, "none"), MODEL, cfg)) == []
 
 
+def test_kept_and_exchanged_sequences_are_short(spark, sp):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    texts = [" ".join(vocabulary[int(3000 * rng.random() ** 3)] for _ in range(rng.randint(1, 900))) for _ in range(400)]
+    cfg = training_order.OrderConfig()
+    df = spark.createDataFrame([(None if i % 50 == 0 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    before = set(Path(shared_dir(spark)).glob("sequences-*"))
+    out = training_order.materialise(df, fresh_path(spark, "shards"), MODEL, cfg)
+    (kept,) = set(Path(shared_dir(spark)).glob("sequences-*")) - before
+    assert sum(1 for r in out.collect() if r["doc_id"] is None) >= 8
+    ids = [np.array(sp.encode(t, add_eos=True), "<u2") for t in texts]
+    whole = np.concatenate(ids)
+    assert sum(f.stat().st_size for f in kept.glob("*.parquet")) < 0.6 * whole.nbytes
+    code = training_order.id_code(texts[:20], model_bytes(MODEL))
+    for some in (whole, np.arange(sp.vocab_size(), dtype="<u2"), whole[:0]):
+        lead, tail, _ = code.coded(some)
+        assert (code.decoded(lead, tail) == some).all()
+    packs = out_packs(spark, kept, cfg)
+    assert sum(len(r["pack"]) for r in packs) < 0.6 * whole.nbytes
+
+
+def out_packs(spark, kept, cfg):
+    cut = spark.read.parquet(str(kept)).drop("crc")
+    n = cut.count()
+    assert {r[0] for r in cut.select("part").distinct().collect()} == {0}
+    return cut.mapInArrow(lambda it: training_order._packs(it, {0: 0}, n, 8, 8, cfg), training_order.PACK_SQL).collect()
+
+
 def reshared_by_steps(sizes, weights, total, cap):
     target = dict.fromkeys(range(len(sizes)))
     while True:

@@ -7,16 +7,22 @@ table, so the order of training is random, repeatable and invertible. Ranges of
 slots are sorted and written as shards of equal records, so slot s is found at
 a byte offset and a reader resumes anywhere. A shard appears under its name
 only when complete, and a complete one is not written again.
+
+Before they lie in shards, ids are kept and exchanged in a code of one byte for
+frequent ids and two for others, and the sequences a task sends to one range of
+slots travel as one compressed pack.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import sys
 import uuid
+import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +36,13 @@ from tidewatch.llm.common import slices
 from tidewatch.llm.pieces import model_bytes, pretokens, processor
 from tidewatch.session import fresh_path
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Pre-tokens remembered per task; the memory is bounded, the result the same.
 KNOWN = 1_000_000
+#: Coded ids a task gathers before it packs them, so that a pack holds several sequences.
+PACK_BYTES = 16 << 20
+#: Texts and characters of each that the frequent ids are taken from.
+SAMPLE_TEXTS, SAMPLE_CHARS = 500, 4000
 HEAD = np.dtype([("doc_id", "<i8"), ("seq_no", "<u4"), ("n_tokens", "<u4")])
 WITHOUT_ID = -(2**63)
 
@@ -80,11 +90,58 @@ def permuted(i: np.ndarray, n: int, cfg: OrderConfig, back: bool = False) -> np.
     return out.astype(np.int64)
 
 
-SEQ = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("no", pa.int64()), ("seq_no", pa.int32()), ("ids", pa.binary())])
-SEQ_SQL = "doc_id long, part long, no long, seq_no int, ids binary"
+@dataclass(frozen=True)
+class IdCode:
+    """ranks: place of each id by frequency. short: ids of a smaller rank take one byte, the others two.
+
+    Leading bytes and second bytes are kept apart. Every id has a code, whatever the ranks are.
+    """
+
+    ranks: np.ndarray
+    short: int
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> IdCode:
+        ranks = np.empty(len(counts), np.int32)
+        ranks[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        return cls(ranks, (65536 - len(counts)) // 255)
+
+    def coded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leading bytes, second bytes, and how many second bytes stand before each id and at the end."""
+        rank = self.ranks[ids]
+        long = rank >= self.short
+        rest = rank - self.short
+        lead = np.where(long, self.short + (rest >> 8), rank).astype(np.uint8)
+        before = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(long, out=before[1:])
+        return lead, rest[long].astype(np.uint8), before
+
+    def decoded(self, lead: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        rank = lead.astype(np.int32)
+        long = rank >= self.short
+        rank[long] = ((rank[long] - self.short) << 8) + tail + self.short
+        return np.argsort(self.ranks)[rank].astype("<u2")
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], proto: bytes, cfg: OrderConfig) -> Iterator[pa.RecordBatch]:
+def id_code(texts: Iterable[str | None], proto: bytes) -> IdCode:
+    """The code that suits these texts."""
+    sp = processor(proto)
+    ids = [np.array(x, np.int64) for x in sp.encode([t for t in texts if t], num_threads=1)]
+    return IdCode.of(np.bincount(np.concatenate([np.array([sp.eos_id()]), *ids]), minlength=sp.vocab_size()))
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie one after another in ``data``; ``ends`` begins with 0."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [
+        None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+SEQ = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("no", pa.int64()), ("seq_no", pa.int32()), ("crc", pa.int64()),
+                 ("lead", pa.binary()), ("tail", pa.binary())])
+SEQ_SQL = "doc_id long, part long, no long, seq_no int, crc long, lead binary, tail binary"
+
+
+def _sequences(batches: Iterator[pa.RecordBatch], proto: bytes, code: IdCode, cfg: OrderConfig) -> Iterator[pa.RecordBatch]:
     sp, part, no = processor(proto), TaskContext.get().partitionId(), 0
     if sp.vocab_size() > 1 << 16 or sys.byteorder != "little":
         raise ValueError("ids must fit in two little-endian bytes")
@@ -94,27 +151,83 @@ def _sequences(batches: Iterator[pa.RecordBatch], proto: bytes, cfg: OrderConfig
         words = [pretokens(t or "") for t in piece.column("text").to_pylist()]
         if len(known) > KNOWN:
             known = {}
-        new = list({w for ws in words for w in ws if w not in known})
+        new = list(set().union(*words).difference(known))
         for w, ids in zip(new, sp.encode([w[1:] for w in new], num_threads=1), strict=True):
             known[w] = array("H", [alone] if w == " " else ids).tobytes()
-        rows = []
-        width = 2 * cfg.seq_len
-        for doc, ws in zip(piece.column("doc_id").to_pylist(), words, strict=True):
-            ids = b"".join([known[w] for w in ws]) + end
-            for seq, at in enumerate(range(0, len(ids), width)):
-                rows.append((doc, part, no, seq, ids[at:at + width]))
-                no += 1
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SEQ, strict=True)], schema=SEQ)
+        docs = [b"".join(map(known.__getitem__, ws)) + end for ws in words]
+        # documents lie one after another, and so do their sequences
+        sizes = np.array([len(d) // 2 for d in docs])
+        each = -(-sizes // cfg.seq_len)
+        seq = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        n = np.minimum(cfg.seq_len, np.repeat(sizes, each) - seq * cfg.seq_len)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        whole = b"".join(docs)
+        crc = [zlib.crc32(whole[a:b]) for a, b in itertools.pairwise((2 * ends).tolist())]
+        lead, tail, before = code.coded(np.frombuffer(whole, "<u2"))
+        yield pa.RecordBatch.from_arrays([
+            piece.column("doc_id").take(pa.array(np.repeat(np.arange(len(docs)), each))), pa.array(np.full(len(seq), part)),
+            pa.array(no + np.arange(len(seq))), pa.array(seq.astype(np.int32)), pa.array(crc, pa.int64()),
+            _binary(lead, ends), _binary(tail, before[ends])], schema=SEQ)
+        no += len(seq)
+
+
+PACK = pa.schema([("range_no", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("pack", pa.binary())])
+PACK_SQL = "range_no int, n int, size int, pack binary"
+#: What a pack holds of its sequences, column after column, before the coded ids.
+COLUMNS = [("slot", "<i8"), ("doc_id", "<i8"), ("known", "?"), ("seq_no", "<i4"), ("n_lead", "<i4"), ("n_tail", "<i4")]
+SLOTTED = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("seq_no", pa.int32()), ("ids", pa.binary())])
+SLOTTED_SQL = "slot long, doc_id long, seq_no int, ids binary"
+
+
+def _packed(held: list[pa.RecordBatch], offsets: dict[int, int], n: int, shards: int, tasks: int, cfg: OrderConfig) -> pa.RecordBatch:
+    """One pack for each range of slots that these sequences go to."""
+    t = pa.Table.from_batches(held)
+    part = t.column("part").to_numpy()
+    at, inverse = np.unique(part, return_inverse=True)
+    slot = permuted(np.array([offsets[p] for p in at.tolist()], np.int64)[inverse] + t.column("no").to_numpy(), n, cfg)
+    range_no = slot // cfg.shard_rows * tasks // shards
+    order = np.argsort(range_no, kind="stable")
+    t, slot, range_no = t.take(pa.array(order)), slot[order], range_no[order]
+    lead, tail = (t.column(c).combine_chunks().cast(pa.binary()) for c in ("lead", "tail"))
+    doc = t.column("doc_id")
+    columns = [slot, doc.fill_null(WITHOUT_ID).to_numpy(), doc.is_valid().to_numpy(), t.column("seq_no").to_numpy(),
+               *(pa.compute.binary_length(x).to_numpy() for x in (lead, tail))]
+    columns = [c.astype(kind) for c, (_, kind) in zip(columns, COLUMNS, strict=True)]
+    ends = [np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, 4 * x.offset).tolist() for x in (lead, tail)]
+    leads, tails = (memoryview(x.buffers()[2]) for x in (lead, tail))
+    first = np.flatnonzero(np.diff(range_no, prepend=-1)).tolist()
+    codec, rows = pa.Codec("zstd"), []
+    for a, b in itertools.pairwise([*first, len(slot)]):
+        raw = b"".join([*(c[a:b].tobytes() for c in columns), leads[ends[0][a]:ends[0][b]], tails[ends[1][a]:ends[1][b]]])
+        rows.append((int(range_no[a]), b - a, len(raw), codec.compress(raw, asbytes=True)))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PACK, strict=True)], schema=PACK)
+
+
+def _packs(batches: Iterator[pa.RecordBatch], offsets: dict[int, int], n: int, shards: int, tasks: int, cfg: OrderConfig) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.nbytes for x in held) >= PACK_BYTES:
+            yield _packed(held, offsets, n, shards, tasks, cfg)
+            held = []
+    if held:
+        yield _packed(held, offsets, n, shards, tasks, cfg)
 
 
-def _slotted(batches: Iterator[pa.RecordBatch], offsets: dict[int, int], n: int, cfg: OrderConfig) -> Iterator[pa.RecordBatch]:
+def _unpacked(batches: Iterator[pa.RecordBatch], code: IdCode) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd")
     for b in batches:
-        part = b.column("part").to_numpy()
-        first = np.array([offsets[p] for p in np.unique(part).tolist()], np.int64)[np.unique(part, return_inverse=True)[1]] \
-            if len(part) else np.zeros(0, np.int64)
-        slot = permuted(first + b.column("no").to_numpy(), n, cfg)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), b.column("doc_id"), b.column("seq_no"), b.column("ids")],
-                                         names=["slot", "doc_id", "seq_no", "ids"])
+        for n, size, pack in zip(*(b.column(c).to_pylist() for c in ("n", "size", "pack")), strict=True):
+            raw, at, found = codec.decompress(pack, size, asbytes=True), 0, {}
+            for name, kind in COLUMNS:
+                found[name] = np.frombuffer(raw, kind, n, at)
+                at += found[name].nbytes
+            leads = int(found["n_lead"].sum())
+            ids = code.decoded(np.frombuffer(raw, np.uint8, leads, at), np.frombuffer(raw, np.uint8, offset=at + leads))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(found["slot"]), pa.array(found["doc_id"], mask=~found["known"]), pa.array(found["seq_no"]),
+                _binary(ids, np.concatenate([[0], np.cumsum(2 * found["n_lead"])]))], schema=SLOTTED)
 
 
 PLACED = pa.schema([("doc_id", pa.int64()), ("seq_no", pa.int32()), ("slot", pa.int64()), ("shard", pa.int64()),
@@ -198,7 +311,7 @@ def claim(path: str, manifest: dict) -> None:
 
 def _content(cut: DataFrame, model_path: str) -> str:
     """What the sequences are, whatever the order of rows within the parts."""
-    seen = cut.agg(F.bit_xor(F.xxhash64("part", "no", "doc_id", "seq_no", "ids"))).first()[0]
+    seen = cut.agg(F.bit_xor(F.xxhash64("part", "no", "doc_id", "seq_no", "crc"))).first()[0]
     return f"{seen or 0:x} {hashlib.sha256(model_bytes(model_path)).hexdigest()}"
 
 
@@ -219,7 +332,9 @@ def materialise(docs: DataFrame, path: str, model_path: str, cfg: OrderConfig =
     spark, proto = docs.sparkSession, model_bytes(model_path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kept = fresh_path(spark, "sequences")
-    rows.mapInArrow(lambda it: _sequences(it, proto, cfg), SEQ_SQL).write.option("compression", "zstd").parquet(kept)
+    # any code gives the same shards; one that suits the first texts keeps the others short too
+    code = id_code([r[0] for r in rows.select(F.substring("text", 1, SAMPLE_CHARS)).limit(SAMPLE_TEXTS).collect()], proto)
+    rows.mapInArrow(lambda it: _sequences(it, proto, code, cfg), SEQ_SQL).write.option("compression", "zstd").parquet(kept)
     cut = spark.read.schema(SEQ_SQL).parquet(kept)
     # one number per input partition
     parts = cut.groupBy("part").agg((F.max("no") + 1).alias("n")).orderBy("part").collect()
@@ -232,10 +347,9 @@ def materialise(docs: DataFrame, path: str, model_path: str, cfg: OrderConfig =
     if n:
         claim(path, {"n": n, "key": cfg.key, "seq_len": cfg.seq_len, "shard_rows": cfg.shard_rows, "pad": pad,
                      "content": _content(cut, model_path)})
-    slotted = cut.mapInArrow(lambda it: _slotted(it, offsets, n, cfg), "slot long, doc_id long, seq_no int, ids binary")
-    range_no = F.floor(F.floor(F.col("slot") / cfg.shard_rows) * tasks / shards).cast("int")
-    return slotted.repartitionById(tasks, range_no).sortWithinPartitions("slot").mapInArrow(
-        lambda it: _written(it, path, pad, cfg), PLACED_SQL)
+    packs = cut.drop("crc").mapInArrow(lambda it: _packs(it, offsets, n, shards, tasks, cfg), PACK_SQL)
+    slotted = packs.repartitionById(tasks, F.col("range_no")).mapInArrow(lambda it: _unpacked(it, code), SLOTTED_SQL)
+    return slotted.sortWithinPartitions("slot").mapInArrow(lambda it: _written(it, path, pad, cfg), PLACED_SQL)
 
 
 def read_slots(path: str, first: int, count: int, cfg: OrderConfig = OrderConfig()) -> Iterator[tuple[int | None, int, np.ndarray]]:
