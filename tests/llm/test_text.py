@@ -16,7 +16,7 @@ from brute import base_rules, order, sha, words
 from conftest import prose
 
 from tidewatch.llm import language_id, merge_rounds, mixing, quality_rules, token_counts, training_order
-from tidewatch.llm.pieces import model_bytes, pretokens
+from tidewatch.llm.pieces import coded_pretokens, model_bytes, pretokens
 from tidewatch.session import fresh_path, shared_dir
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -144,6 +144,14 @@ def test_pretokens_cover_the_text():
         assert "".join(pretokens(t)) == (" " + t.replace("▁", " ") if t else "")
 
 
+def test_distinct_pretokens_stand_for_all():
+    for texts in ([], [None], ["", None, ""], ["ends in ", " begins", "", "  ", "▁", "x▁ y ends\nin", "é ü\x00 é", " ends"], ["a"] * 3):
+        words, each, at = coded_pretokens(texts)
+        every = [pretokens(t or "") for t in texts]
+        assert len(set(words)) == len(words) and each.tolist() == [len(x) for x in every]
+        assert [words[i] for i in at] == [w for x in every for w in x]
+
+
 def test_round_trip(awkward, nothing, sp):
     df, rows = awkward
     want = []

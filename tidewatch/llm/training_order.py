@@ -21,7 +21,6 @@ import json
 import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import slices
-from tidewatch.llm.pieces import model_bytes, pretokens, processor
+from tidewatch.llm.pieces import coded_pretokens, model_bytes, processor
 from tidewatch.session import fresh_path
 
 SLICE_BYTES = 2 << 20
@@ -145,27 +144,32 @@ def _sequences(batches: Iterator[pa.RecordBatch], proto: bytes, code: IdCode, cf
     sp, part, no = processor(proto), TaskContext.get().partitionId(), 0
     if sp.vocab_size() > 1 << 16 or sys.byteorder != "little":
         raise ValueError("ids must fit in two little-endian bytes")
-    alone, end = sp.piece_to_id("▁"), np.array([sp.eos_id()], "<u2").tobytes()
-    known: dict[str, bytes] = {}
+    alone, known = sp.piece_to_id("▁"), {}
     for piece in slices(batches, "text", SLICE_BYTES):
-        words = [pretokens(t or "") for t in piece.column("text").to_pylist()]
-        if len(known) > KNOWN:
-            known = {}
-        new = list(set().union(*words).difference(known))
-        for w, ids in zip(new, sp.encode([w[1:] for w in new], num_threads=1), strict=True):
-            known[w] = array("H", [alone] if w == " " else ids).tobytes()
-        docs = [b"".join(map(known.__getitem__, ws)) + end for ws in words]
+        if not known or len(known) > KNOWN:
+            # number of each pre-token seen, the ids of all, and where each begins; number 0 is the end id
+            known, ids, begins = {"": 0}, np.array([sp.eos_id()], "<u2"), np.array([0, 1])
+        words, each, at = coded_pretokens(piece.column("text").to_pylist())
+        new = [w for w in words if w not in known]
+        found = [[alone] if w == " " else x for w, x in zip(new, sp.encode([w[1:] for w in new], num_threads=1), strict=True)]
+        known.update(zip(new, itertools.count(len(known))))
+        ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(found), "<u2")])
+        begins = np.concatenate([begins, begins[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        at = np.insert(np.fromiter(map(known.__getitem__, words), np.int64, len(words))[at], np.cumsum(each), 0)
+        lens = np.diff(begins)[at]
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        whole_ids = ids[np.repeat(begins[at] - ends[:-1], lens) + np.arange(ends[-1])]
+        sizes = np.diff(ends[np.concatenate([[0], np.cumsum(each + 1)])])
         # documents lie one after another, and so do their sequences
-        sizes = np.array([len(d) // 2 for d in docs])
         each = -(-sizes // cfg.seq_len)
         seq = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         n = np.minimum(cfg.seq_len, np.repeat(sizes, each) - seq * cfg.seq_len)
         ends = np.concatenate([[0], np.cumsum(n)])
-        whole = b"".join(docs)
+        whole = memoryview(whole_ids.tobytes())
         crc = [zlib.crc32(whole[a:b]) for a, b in itertools.pairwise((2 * ends).tolist())]
-        lead, tail, before = code.coded(np.frombuffer(whole, "<u2"))
+        lead, tail, before = code.coded(whole_ids)
         yield pa.RecordBatch.from_arrays([
-            piece.column("doc_id").take(pa.array(np.repeat(np.arange(len(docs)), each))), pa.array(np.full(len(seq), part)),
+            piece.column("doc_id").take(pa.array(np.repeat(np.arange(len(sizes)), each))), pa.array(np.full(len(seq), part)),
             pa.array(no + np.arange(len(seq))), pa.array(seq.astype(np.int32)), pa.array(crc, pa.int64()),
             _binary(lead, ends), _binary(tail, before[ends])], schema=SEQ)
         no += len(seq)
