@@ -1,6 +1,7 @@
 """Bucketed tables, plans without exchanges, percentiles of many columns, CUSUM."""
 
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -47,6 +48,54 @@ def test_model_dataset_query_has_no_exchange(spark):
     assert "Exchange" not in plan(df) and "SortMergeJoin" in plan(df)
 
 
+def panel_tables(spark, folder):
+    rng = random.Random(11)
+    lines = [(i, rng.choice([None, 3, 3, 5, 9, 19, 27]), 1, i % 7, float(rng.randint(1, 50)), 100.0 * rng.randint(1, 900), 0.05, 0.0,
+              rng.choice("RAN"), "O", datetime(rng.randint(1995, 2000), rng.randint(1, 12), 3)) for i in range(600)]
+    spark.createDataFrame(lines, (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+        "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp")).write.parquet(f"{folder}/lineitem.parquet")
+    parts = [(k, f"part {k}", "Brand#1", ["PROMO", "SMALL", "MEDIUM"][k % 3], k % 9 + 1, 900.0 + k) for k in range(30)]
+    spark.createDataFrame(parts, (
+        "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")).write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_buckets_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    from tidewatch.operators.policies import with_heuristic_score
+    from tidewatch.plans import dataset_queries as Q
+    from tidewatch.plans.feature_queries import features, labelled_features
+    from tidewatch.plans.panel import panel
+
+    monkeypatch.setattr(B, "BUCKET_ROWS", 60)
+    sf = panel_tables(spark, tmp_path)
+    tables = [Q.scored_table(spark, sf), Q.feature_table(spark, sf)]
+    for name in tables:  # 600 rows of input; shuffles have four partitions
+        told = {r["col_name"]: r["data_type"] for r in spark.sql(f"describe extended {name}").collect()}
+        assert told["Num Buckets"] == "10"
+        assert B.read_by_bucket(spark, name).rdd.getNumPartitions() == 10
+    same = lambda x, y: x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+    assert same(Q.stored_panel(spark, sf), panel(spark, sf)) and Q.stored_panel(spark, sf).count() > 100
+    exact = [c for c, t in spark.table(tables[0]).dtypes if t != "double"]
+    assert same(spark.table(tables[0]).select(*exact), with_heuristic_score(labelled_features(spark, sf)).select(*exact))
+    assert spark.table(tables[1]).columns == features(spark, sf).columns
+
+
+def test_names_of_features_run_no_job(spark, tmp_path):
+    from tidewatch.plans.dataset_queries import feature_columns
+
+    sf = panel_tables(spark, tmp_path)
+    spark.sparkContext.setJobGroup("names", "names")
+    try:
+        assert "EWMA_V_fin" in feature_columns(spark, sf)
+        # reading a table's schema may be a job, peer statistics take a shuffle and so several stages
+        tracker = spark.sparkContext.statusTracker()
+        assert all(len(tracker.getJobInfo(j).stageIds) == 1 for j in tracker.getJobIdsForGroup("names"))
+        assert len(tracker.getJobIdsForGroup("names")) <= 2
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 NAN, INF = float("nan"), float("inf")
 
 
