@@ -79,8 +79,7 @@ def _govern(events: DataFrame, batch: Batch, horizon: int | None = None) -> Data
         before = before.where(F.coalesce(month_index(F.col("state.last_month")) >= horizon, F.lit(True)))
     kept, refused = G.split_responses(events, before)
     step = batch.keep(G.folded(kept, before), "governance")
-    answers = G.refused_outcomes(refused, step, before)
-    outcomes = batch.put(step.select("project_id", F.inline("out")).unionByName(answers), "outcomes")
+    outcomes = batch.put(G.all_outcomes(step, refused, before), "outcomes")
     batch.put(G.audit_ledger(outcomes), "ledger")
     batch.put_state(_carry_on(before, step.select("project_id", "state")), "governance_state", touched)
     return outcomes
